@@ -150,7 +150,7 @@ def put_file(folder: str, name: str, data: bytes) -> None:
         store.move(part, f"{path}/{name}")
 
 
-def write_token_ids(docs: DataFrame, folder: str, vocabulary: str | None = None, percentile: float = 0.9, ids_per_file: int = 4_000_000) -> DataFrame:
+def write_token_ids(docs: DataFrame, folder: str, vocabulary: str | None = None, percentile: float = 0.9, ids_per_file: int = 1_000_000) -> DataFrame:
     """Encodes the texts of (doc_id, text), appends END_ID to each, writes token-id files in ascending doc_id order.
 
     Returns one row per file: file, n_docs, n_ids, n_bytes. Runs when the result is consumed. A null text is an

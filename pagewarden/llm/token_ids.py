@@ -11,6 +11,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,8 @@ END_ID = 0
 #: Any white space other than single spaces and single line feeds between other characters (fixed set: Unicode White_Space and U+001C to U+001F).
 _WIDE = "\\t\\x0B\\x0C\\r\\x1C-\\x1F\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
 _UNEASY = f"[{_WIDE}\\x01]|[ \\n][ \\n]|\\A[ \\n]|[ \\n]\\z"
-_MEMO_MOST, _CHUNK = 1_000_000, 64_000
-_SLICE_BYTES = 16_000_000
+_MEMO_MOST, _CHUNK = 500_000, 64_000
+_SLICE_BYTES = 3_000_000
 
 
 def default_vocabulary() -> str:
@@ -48,10 +49,25 @@ class Encoder:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {"\n": 0, "\x01": 1}
+        self.hits = np.full(2, 2**30, dtype=np.int64)
         self.length = np.array([1, 0], dtype=np.int64)
         self.start = np.array([0, 1], dtype=np.int64)
         self.flat = np.array([self.line or 0], dtype=np.uint32)
 
+    def _thin(self) -> None:
+        """Forgets the words met once; all of them if that isn't half."""
+        keep = np.flatnonzero(self.hits > 1)
+        if len(keep) > _MEMO_MOST // 2:
+            self._forget()
+            return
+        new = np.full(len(self.hits), -1, dtype=np.int64)
+        new[keep] = np.arange(len(keep))
+        self.known = {w: int(i) for w, i in zip(self.known, new[np.fromiter(self.known.values(), dtype=np.int64, count=len(self.known))], strict=True) if i >= 0}
+        sizes = self.length[keep]
+        ends = np.cumsum(sizes)
+        self.flat = self.flat[np.repeat(self.start[keep] - (ends - sizes), sizes) + np.arange(ends[-1])]
+        self.start, self.length, self.hits = ends - sizes, sizes, self.hits[keep] // 2 + 1
+
     def _learn(self, words: list[str]) -> None:
         """Words new to the memo; one that begins with U+0001 stands without a space before it."""
         sizes, flats = [], []
@@ -72,6 +88,7 @@ class Encoder:
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(more) - more])
         self.length = np.concatenate([self.length, more])
         self.flat = np.concatenate([self.flat, *flats])
+        self.hits = np.concatenate([self.hits, np.zeros(len(words), dtype=np.int64)])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, offsets of the texts in them); null texts have none."""
@@ -103,10 +120,13 @@ class Encoder:
         coded = parts.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
         if len(self.known) + len(words) > _MEMO_MOST:
-            self._forget()
-        if new := [w for w in words if w not in self.known]:
-            self._learn(new)
-        at = np.fromiter((self.known[w] for w in words), dtype=np.int64, count=len(words))[coded.indices.to_numpy()]
+            self._thin()
+        places = np.fromiter(map(self.known.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        if len(new := np.flatnonzero(places < 0)):
+            places[new] = len(self.length) + np.arange(len(new))
+            self._learn([words[i] for i in new])
+        at = places[coded.indices.to_numpy()]
+        self.hits += np.bincount(at, minlength=len(self.hits))
         sizes = self.length[at]
         ends = np.cumsum(sizes)
         flat = self.flat[np.repeat(self.start[at] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
