@@ -1,6 +1,6 @@
 """Token ids of whole texts with a public byte-level BPE vocabulary, and pieces of bounded length.
 
-Most words recur, so a worker keeps the ids of words that it has met. A text is cut only where the vocabulary's
+Most words recur, so a worker keeps the ids of words that it has met, by 128-bit hashes of the words. A text is cut only where the vocabulary's
 own splitting rule always cuts (before a single space, around a single line feed, both between non-space
 characters); any other text goes to the library as a whole. The ids equal those of the library on the whole text.
 """
@@ -11,17 +11,18 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .word_hashes import mixed
+
 END_ID = 0
 #: Any white space other than single spaces and single line feeds between other characters (fixed set: Unicode White_Space and U+001C to U+001F).
 _WIDE = "\\t\\x0B\\x0C\\r\\x1C-\\x1F\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
 _UNEASY = f"[{_WIDE}\\x01]|[ \\n][ \\n]|\\A[ \\n]|[ \\n]\\z"
-_MEMO_MOST, _CHUNK = 500_000, 64_000
+_MEMO_MOST, _CHUNK, _RECENT = 1_500_000, 64_000, 150_000
 _SLICE_BYTES = 3_000_000
 
 
@@ -31,6 +32,26 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+_TABLES = np.random.default_rng(20_240_502).integers(0, 2**64, (2, 32, 256), dtype=np.uint64)
+
+
+def word_keys(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each word, none of them empty."""
+    words = words.cast(pa.large_string())
+    bounds = np.frombuffer(words.buffers()[1], dtype=np.int64, count=len(words) + 1, offset=8 * words.offset)
+    data = np.frombuffer(words.buffers()[2], dtype=np.uint8)[bounds[0] : bounds[-1]]
+    starts, sizes = bounds[:-1] - bounds[0], np.diff(bounds)
+    place = np.arange(len(data)) - np.repeat(starts, sizes)
+    with np.errstate(over="ignore"):
+        far = (2 * (place >> 5) + 1).astype(np.uint64)
+        return tuple(mixed(np.add.reduceat(t[place & 31, data] * far, starts) + sizes.astype(np.uint64)) for t in _TABLES)
+
+
+def _sorted(keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    return keys[order], places[order]
+
+
 class Encoder:
     """Encodes texts; remembers the ids of at most _MEMO_MOST words."""
 
@@ -48,11 +69,13 @@ class Encoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {"\n": 0, "\x01": 1}
-        self.hits = np.full(2, 2**30, dtype=np.int64)
-        self.length = np.array([1, 0], dtype=np.int64)
-        self.start = np.array([0, 1], dtype=np.int64)
+        """An empty memo: only the line feed and the empty word, which can't be encoded between line feeds."""
+        first, self.check = word_keys(pa.array(["\n", "\x01"], pa.large_string()))
+        self.start, self.length = np.array([0, 1], dtype=np.int64), np.array([1, 0], dtype=np.uint32)
         self.flat = np.array([self.line or 0], dtype=np.uint32)
+        self.hits = np.full(2, 2**30, dtype=np.int32)
+        self.keys = first
+        self.levels = [_sorted(first, np.arange(2)), _sorted(first[:0], np.arange(0))]
 
     def _thin(self) -> None:
         """Forgets the words met once; all of them if that isn't half."""
@@ -60,15 +83,25 @@ class Encoder:
         if len(keep) > _MEMO_MOST // 2:
             self._forget()
             return
-        new = np.full(len(self.hits), -1, dtype=np.int64)
-        new[keep] = np.arange(len(keep))
-        self.known = {w: int(i) for w, i in zip(self.known, new[np.fromiter(self.known.values(), dtype=np.int64, count=len(self.known))], strict=True) if i >= 0}
-        sizes = self.length[keep]
+        sizes = self.length[keep].astype(np.int64)
         ends = np.cumsum(sizes)
         self.flat = self.flat[np.repeat(self.start[keep] - (ends - sizes), sizes) + np.arange(ends[-1])]
-        self.start, self.length, self.hits = ends - sizes, sizes, self.hits[keep] // 2 + 1
-
-    def _learn(self, words: list[str]) -> None:
+        self.start, self.length, self.hits = ends - sizes, self.length[keep], self.hits[keep] // 2 + 1
+        self.keys, self.check = self.keys[keep], self.check[keep]
+        self.levels = [_sorted(self.keys, np.arange(len(keep))), _sorted(self.keys[:0], np.arange(0))]
+
+    def _find(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Places of words in the memo, -1 for those that it lacks."""
+        out = np.full(len(first), -1, dtype=np.int64)
+        for keys, places in self.levels:
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, first), len(keys) - 1)
+                place = places[at]
+                hit = (keys[at] == first) & (self.check[place] == second)
+                out[hit] = place[hit]
+        return out
+
+    def _learn(self, words: list[str], first: np.ndarray, second: np.ndarray) -> None:
         """Words new to the memo; one that begins with U+0001 stands without a space before it."""
         sizes, flats = [], []
         for i in range(0, len(words), _CHUNK):
@@ -82,13 +115,20 @@ class Encoder:
                 each = self._plain(some)
                 sizes.append(np.array([len(x) for x in each]))
                 flats.append(np.array([y for x in each for y in x], dtype=np.uint32))
-        more = np.concatenate(sizes).astype(np.int64)
+        more = np.concatenate(sizes)
         at = len(self.length)
-        self.known.update(zip(words, range(at, at + len(words)), strict=True))
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(more) - more])
-        self.length = np.concatenate([self.length, more])
+        self.length = np.concatenate([self.length, more.astype(np.uint32)])
         self.flat = np.concatenate([self.flat, *flats])
-        self.hits = np.concatenate([self.hits, np.zeros(len(words), dtype=np.int64)])
+        self.hits = np.concatenate([self.hits, np.zeros(len(words), dtype=np.int32)])
+        self.keys, self.check = np.concatenate([self.keys, first]), np.concatenate([self.check, second])
+        keys, places = self.levels[1]
+        keys, places = _sorted(np.concatenate([keys, first]), np.concatenate([places, at + np.arange(len(words))]))
+        if len(keys) > _RECENT:
+            main, there = self.levels[0]
+            self.levels = [_sorted(np.concatenate([main, keys]), np.concatenate([there, places])), (keys[:0], places[:0])]
+        else:
+            self.levels[1] = keys, places
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, offsets of the texts in them); null texts have none."""
@@ -118,16 +158,17 @@ class Encoder:
         parts = pc.split_pattern(marked.cast(pa.large_string()), " ")
         bounds = parts.offsets.to_numpy()
         coded = parts.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        if len(self.known) + len(words) > _MEMO_MOST:
+        words = coded.dictionary
+        if len(self.length) + len(words) > _MEMO_MOST:
             self._thin()
-        places = np.fromiter(map(self.known.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        first, second = word_keys(words)
+        places = self._find(first, second)
         if len(new := np.flatnonzero(places < 0)):
             places[new] = len(self.length) + np.arange(len(new))
-            self._learn([words[i] for i in new])
+            self._learn(words.take(pa.array(new)).to_pylist(), first[new], second[new])
         at = places[coded.indices.to_numpy()]
-        self.hits += np.bincount(at, minlength=len(self.hits))
-        sizes = self.length[at]
+        self.hits += np.bincount(at, minlength=len(self.hits)).astype(np.int32)
+        sizes = self.length[at].astype(np.int64)
         ends = np.cumsum(sizes)
         flat = self.flat[np.repeat(self.start[at] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
         upto = np.concatenate([[0], ends])[bounds - bounds[0]]
