@@ -68,11 +68,11 @@ def with_next(docs: DataFrame, columns: list[str], rows_each: int = 1_000, most:
     """Adds next_<column>: the columns of the next document by descending doc_id; after the last comes the first.
 
     Documents are dealt over ranges of doc_id; each range also gets the first row of the range below it. Rows with
-    the same doc_id follow each other by their columns' hash, a null doc_id comes last. At most ``most`` ranges, so
+    the same doc_id follow each other by the first column's hash, a null doc_id comes last. At most ``most`` ranges, so
     that their table is small enough to broadcast.
     """
     order = [F.col("doc_id").desc_nulls_last(), F.col("_tie").desc()]
-    tied = docs.withColumn("_tie", F.xxhash64(*columns))
+    tied = docs.withColumn("_tie", F.xxhash64(columns[0]))
     low, high, n = tied.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
     if low is None:
         low = high = 0
