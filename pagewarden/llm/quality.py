@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, words_of
+from .common import SPACE, first_by_hash, words_of
 
 WINDOW, LEAST_WORDS = 5, 10
 #: Statistics that rules may test, as ratios so that they mean the same at any length.
@@ -148,7 +148,7 @@ def quality(docs: DataFrame, labels: DataFrame, sample: int = 6_000) -> DataFram
     and rows with a null doc_id or quality don't count. Without usable labels ``kept`` is not base_failed. Repeated
     rows are judged alike, each once.
     """
-    chosen = labels.select(F.col("doc_id").cast("long"), "quality").dropna().orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
+    chosen = first_by_hash(labels.select(F.col("doc_id").cast("long"), "quality").dropna(), ["doc_id", "quality"], sample)
     chosen = chosen.select("doc_id", (F.col("quality") == 0).alias("low"))
     some = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # ``sample`` rows at most
     rules = learn(statistics(some).join(F.broadcast(chosen), "doc_id"))

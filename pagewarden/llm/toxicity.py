@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 
+from .common import first_by_hash
 from .token_ids import slices
 
 GRADES = 3
@@ -135,7 +136,7 @@ def train(sample: list[tuple[str | None, int]], grades: int = GRADES, most_words
 def labelled_sample(docs: DataFrame, labels: DataFrame, each: int = 3_000) -> list[tuple[str | None, int]]:
     """At most ``each`` toxic and as many clean labelled texts, the first by a hash of doc_id, in that order; equal ones once."""
     known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("toxic")).dropna().withColumn("h", F.xxhash64("doc_id"))
-    some = known.where("toxic = 1").orderBy("h", "doc_id").limit(each).union(known.where("toxic = 0").orderBy("h", "doc_id").limit(each))
+    some = first_by_hash(known.where("toxic = 1"), ["doc_id"], each).union(first_by_hash(known.where("toxic = 0"), ["doc_id"], each))
     rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("h", "doc_id", F.left("text", F.lit(200_000)), "toxic").collect()  # 2 x ``each`` texts
     once = {(r[2], r[3]): None for r in sorted(rows, key=lambda r: (r[0], r[1], r[2] or "", r[3]))}
     return list(once)

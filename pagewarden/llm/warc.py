@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder
+from .common import first_by_hash, new_folder
 from .pfor import put_file
 
 #: The skippable frame's magic number and the revisit profile.
@@ -78,7 +78,7 @@ def write_warc(pages: DataFrame, folder: str, sample: int = 400, sample_bytes: i
     dictionary is trained by the driver on at most ``sample`` responses, chosen by hash, ``sample_bytes`` of each.
     """
     rows = classified(pages)
-    chosen = pages.where("html is not null").orderBy(F.xxhash64("page_id", "url")).limit(sample)
+    chosen = first_by_hash(pages.where("html is not null"), ["page_id", "url"], sample)
     samples = [record_bytes("response", r[0], r[1], r[2].encode()[:sample_bytes], len(r[2].encode()), hashlib.sha256(r[2].encode()).hexdigest(), None, None, date) for r in chosen.select("page_id", "url", F.left("html", F.lit(sample_bytes))).collect()]
     dictionary = trained(samples, dictionary_bytes)
 
