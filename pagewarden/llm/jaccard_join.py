@@ -5,6 +5,9 @@ threshold differ in so few n-grams that, among one fragment more than that, some
 content's hash is the join key, so candidates come from fragments joined separately. Candidates that hang together
 are gathered in units of bounded size; there each fragment's overlaps are counted on their own and summed per pair.
 
+There are a quarter more fragments than that, so linked documents share many of them; a document that shares fewer
+fragments with all others together cannot be linked to any and is left out.
+
 Sizes fall into classes; a document joins the fragments of its own class and of the next, so two documents of similar
 size meet in one of them. A document so small that fragments stay empty is also joined on its prefix n-grams.
 """
@@ -40,7 +43,7 @@ def _fragments(label: int, percent: int) -> tuple[int, int]:
     """(fragments of a class label, n-grams by which linked sets of that label may differ)."""
     most = _classes(percent)[min(label + 1, len(_classes(percent)) - 1)] - 1
     differ = (100 - percent) * 2 * most // (100 + percent)
-    return differ + 2 + -(-(differ + 1) // 40), differ
+    return differ + 2 + (differ + 1) // 4, differ
 
 
 def signatures(ngrams: np.ndarray, percent: int) -> np.ndarray:
@@ -67,8 +70,18 @@ def _key(ngrams: np.ndarray) -> tuple[int, int]:
         return int(mixed(ngrams).sum(dtype=np.uint64).astype(np.int64)), int(mixed(ngrams ^ np.uint64(0x5DEECE66D)).sum(dtype=np.uint64).astype(np.int64))
 
 
-def _first_owners(sigs: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each signature once, with one of its owners; other owners share a key of their own with that one.
+def least_shared(ngrams: np.ndarray, percent: int) -> int:
+    """Fewer signatures in common with all other sets together mean that a sorted set is linked to none."""
+    out, own = len(ngrams), int(np.searchsorted(_classes(percent), len(ngrams), side="right")) - 1
+    for label in (own, own + 1):
+        k, differ = _fragments(label, percent)
+        fragment = ((ngrams >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
+        out = min(out, 1 + int((fragment[1:] != fragment[:-1]).sum()) - differ)
+    return max(1, out)
+
+
+def _first_owners(sigs: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each signature once, with one of its owners; other owners share a key of their own with that one, counted.
 
     So a signature that very many documents have is sent on once for each slice of the input, not for each document.
     """
@@ -77,10 +90,10 @@ def _first_owners(sigs: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.n
     fresh = np.concatenate([[True], sigs[1:] != sigs[:-1]])
     leader = owner[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
     other = leader != owner
-    pairs = np.unique(np.stack([leader[other], owner[other]]), axis=1)
+    pairs, times = np.unique(np.stack([leader[other], owner[other]]), axis=1, return_counts=True)
     with np.errstate(over="ignore"):
         tied = mixed(mixed(pairs[0].astype(np.uint64)) * np.uint64(3) + pairs[1].astype(np.uint64))
-    return np.concatenate([sigs[fresh], tied, tied]), np.concatenate([owner[fresh], pairs[0], pairs[1]])
+    return np.concatenate([sigs[fresh], tied, tied]), np.concatenate([owner[fresh], pairs[0], pairs[1]]), np.concatenate([np.ones(int(fresh.sum()), dtype=np.int64), times, times]).astype(np.int32)
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
@@ -152,9 +165,9 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
                 hashes, offsets, _, _ = hashed(part.column("text"))
                 sets = shingle_sets(hashes, offsets, words)
                 k = np.array([_key(s) for s in sets], dtype=np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "k1": k[:, 0], "k2": k[:, 1]})
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "least": pa.array([least_shared(s, percent) if len(s) else 0 for s in sets], pa.int64()), "k1": k[:, 0], "k2": k[:, 1]})
 
-    sizes = stored(rows.mapInArrow(keys, "doc_id long, n_shingles long, k1 long, k2 long"), "sets")
+    sizes = stored(rows.mapInArrow(keys, "doc_id long, n_shingles long, least long, k1 long, k2 long"), "sets")
     real = sizes.where("n_shingles > 0 and doc_id is not null")
     copies = real.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     copies = stored(copies, "copies")
@@ -170,13 +183,13 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
                     continue
                 ids = part.column("doc_id").to_numpy(zero_copy_only=False)
                 owner = ids[np.repeat(np.array([i for i, _ in found], dtype=np.int64), [len(s) for _, s in found])]
-                sigs, owner = _first_owners(np.concatenate([s for _, s in found]), owner)
-                yield pa.RecordBatch.from_pydict({"sig": sigs.view(np.int64), "doc_id": owner})
+                sigs, owner, times = _first_owners(np.concatenate([s for _, s in found]), owner)
+                yield pa.RecordBatch.from_pydict({"sig": sigs.view(np.int64), "doc_id": owner, "times": times})
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, leader = None, None
         for batch in batches:
-            sig, ids = (batch.column(c).to_numpy() for c in ("sig", "doc_id"))
+            sig, ids, times = (batch.column(c).to_numpy() for c in ("sig", "doc_id", "times"))
             if not len(sig):
                 continue
             fresh = np.concatenate([[sig[0] != last], sig[1:] != sig[:-1]])
@@ -185,13 +198,15 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
             lead = np.where(nth >= 0, ids[heads[np.maximum(nth, 0)]] if len(heads) else 0, 0 if leader is None else leader)
             last, leader = sig[-1], lead[-1]
             differ = lead != ids
-            pairs = np.unique(np.stack([ids[differ], lead[differ]]), axis=1)
-            yield pa.RecordBatch.from_pydict({"a": pairs[0], "b": pairs[1]})
-
-    keyed = once.mapInArrow(emit, "sig long, doc_id long").repartition("sig").sortWithinPartitions("sig", "doc_id")
-    star = keyed.mapInArrow(meet, "a long, b long").distinct()
-    clusters = stored(components(star).withColumnsRenamed({"node": "doc_id", "component": "cluster"}), "clusters")
-    weights = real.select("doc_id", "n_shingles").join(clusters, "doc_id").dropDuplicates(["doc_id"])
+            pairs, which = np.unique(np.stack([ids[differ], lead[differ]]), axis=1, return_inverse=True)
+            yield pa.RecordBatch.from_pydict({"a": pairs[0], "b": pairs[1], "n": np.bincount(which.ravel(), times[differ], minlength=pairs.shape[1]).astype(np.int64)})
+
+    keyed = once.mapInArrow(emit, "sig long, doc_id long, times int").repartition("sig").sortWithinPartitions("sig", "doc_id")
+    star = stored(keyed.mapInArrow(meet, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")), "star")
+    shared = star.select(F.col("a").alias("doc_id"), "n").union(star.select("b", "n")).groupBy("doc_id").agg(F.sum("n").alias("n"))
+    able = real.select("doc_id", "n_shingles", "least").join(shared, "doc_id").where("n >= least").select("doc_id", "n_shingles").dropDuplicates(["doc_id"])
+    clusters = components(star.select("a", "b")).withColumnsRenamed({"node": "doc_id", "component": "cluster"})
+    weights = stored(able.join(clusters, "doc_id"), "clusters")
     placed = ranked(weights.withColumn("h", F.xxhash64("doc_id")), ["cluster"], "h", ["doc_id"], 64, "before", "n_shingles")
     placed = placed.withColumn("block", F.floor(F.col("before") / _UNIT_NGRAMS).cast("int"))
     blocks = placed.groupBy("cluster").agg((F.max("block") + 1).alias("blocks"), F.sum("n_shingles").alias("total"))
@@ -213,7 +228,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
                 sets = shingle_sets(hashes, offsets, words)
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "ngrams": pa.array([s.tobytes() for s in sets], pa.binary())})
 
-    some = kept_by_size(once, clusters.select("doc_id"), "doc_id", "left_semi").mapInArrow(arrays, "doc_id long, ngrams binary")
+    some = kept_by_size(once, weights.select("doc_id"), "doc_id", "left_semi").mapInArrow(arrays, "doc_id long, ngrams binary")
     full = placed.join(some, "doc_id").join(copied, "doc_id", "left").select("unit", "cluster", "doc_id", "block", "other", "ngrams", F.coalesce("copies", F.lit(1)).alias("copies"))
 
     def link(table: pa.Table) -> pa.Table:

@@ -168,7 +168,7 @@ def pieces_of(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary).encode
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, encoding=True):
                 ids, offsets = with_end(*encode(part.column("text")))
                 total = np.diff(offsets)
                 n = -(-total // capacity)

@@ -174,7 +174,7 @@ def write_token_ids(docs: DataFrame, folder: str, vocabulary: str | None = None,
             return pa.RecordBatch.from_pydict({"file": [name], "n_docs": [len(doc_ids)], "n_ids": [len(ids)], "n_bytes": [len(data)]})
 
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, encoding=True):
                 ids, offsets = with_end(*encode(part.column("text")))
                 doc_ids = part.column("doc_id").to_numpy(zero_copy_only=False)
                 a = 0

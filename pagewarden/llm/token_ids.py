@@ -7,6 +7,9 @@ characters); any other text goes to the library as a whole. The ids equal those
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import zlib
 from collections.abc import Iterator
@@ -22,7 +25,7 @@ END_ID = 0
 #: Any white space other than single spaces and single line feeds between other characters (fixed set: Unicode White_Space and U+001C to U+001F).
 _WIDE = "\\t\\x0B\\x0C\\r\\x1C-\\x1F\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
 _UNEASY = f"[{_WIDE}\\x01]|[ \\n][ \\n]|\\A[ \\n]|[ \\n]\\z"
-_MEMO_MOST, _CHUNK, _RECENT = 1_500_000, 64_000, 150_000
+_MEMO_MOST, _CHUNK, _RECENT = 1_200_000, 64_000, 150_000
 _SLICE_BYTES = 3_000_000
 
 
@@ -181,14 +184,29 @@ def encoder(vocabulary: str) -> Encoder:
     return Encoder(vocabulary)
 
 
-def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cuts a batch so that the texts of a slice hold about _SLICE_BYTES, to bound memory with very long texts."""
+def trim() -> None:
+    """Gives memory that isn't used any more back to the system, so that workers that Spark keeps stay small."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def slices(batch: pa.RecordBatch, text: str = "text", encoding: bool = False) -> Iterator[pa.RecordBatch]:
+    """Cuts a batch so that the texts of a slice hold about _SLICE_BYTES, to bound memory with very long texts.
+
+    Unless the caller is ``encoding``, an encoder that the worker has from an earlier task is let go.
+    """
+    if not encoding and encoder.cache_info().currsize:
+        encoder.cache_clear()
+        gc.collect()
+        trim()
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), dtype=np.int64)
     group = np.cumsum(sizes) // _SLICE_BYTES
     cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:], strict=False):
         if b > a:
             yield batch.slice(a, b - a)
+    trim()
 
 
 def with_end(ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -12,6 +12,7 @@ with features that tell toxic sample texts from clean ones, cut at its quantiles
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -22,9 +23,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 
 from .common import first_by_hash
-from .token_ids import slices
+from .token_ids import slices, trim
 
-GRADES = 3
+GRADES, _BUCKETS = 3, 1 << 21
 _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 
 
@@ -93,12 +94,16 @@ def train(sample: list[tuple[str | None, int]], grades: int = GRADES, most_words
     toxic = np.array([y for _, y in part], dtype=bool)
     if not toxic.any() or toxic.all():
         return None
-    spoken = [words_in(t) for t, _ in part]
-    seen = [features(w) for w in spoken]
+    # counts of hashed features first: only what can be common enough is then counted by name
+    hashed = np.zeros((2, _BUCKETS), dtype=np.int32)
+    for (text, _), y in zip(part, toxic, strict=True):
+        hashed[int(y), np.unique([zlib.crc32(w.encode()) % _BUCKETS for w in features(words_in(text))] or [0])] += 1
+    common = (hashed[0] >= least_share * (~toxic).sum()) | (hashed[1] >= least_share * toxic.sum())
     counts: dict[str, list[int]] = {}
-    for own, y in zip(seen, toxic, strict=True):
-        for w in own:
-            counts.setdefault(w, [0, 0])[int(y)] += 1
+    for (text, _), y in zip(part, toxic, strict=True):
+        for w in features(words_in(text)):
+            if common[zlib.crc32(w.encode()) % _BUCKETS]:
+                counts.setdefault(w, [0, 0])[int(y)] += 1
     n_clean, n_toxic = int((~toxic).sum()), int(toxic.sum())
     # how many standard errors apart the two kinds' shares of texts with the feature are
     sure = {}
@@ -109,10 +114,13 @@ def train(sample: list[tuple[str | None, int]], grades: int = GRADES, most_words
     chosen = sorted((w for w in sure if abs(sure[w]) > least_errors), key=lambda w: (-abs(sure[w]), w))[:most_words]
     words = {w: i for i, w in enumerate(chosen)}
     telling = {w for w in chosen if sure[w] > 0}
-    density = np.array([sum(bool(features([w]) & telling) for w in x) / max(1, len(x)) for x in spoken])
+    density, rows = np.zeros(len(part)), []
+    for i, (text, _) in enumerate(part):
+        spoken = words_in(text)
+        rows.append(np.array(sorted(words[w] for w in words.keys() & features(spoken)), dtype=np.int64))
+        density[i] = sum(bool(features([w]) & telling) for w in spoken) / max(1, len(spoken))
     cuts = np.quantile(density[toxic], [k / grades for k in range(1, grades)])
     y = np.where(toxic, 1 + (density[:, None] > cuts).sum(axis=1), 0)
-    rows = [np.array(sorted(words[w] for w in x if w in words), dtype=np.int64) for x in seen]
     model = Model(words, *fit_ordinal(rows, y, len(words), grades))
     texts, truth = [t for t, _ in held], np.array([y for _, y in held], dtype=bool)
     if truth.any() and not truth.all():
@@ -152,6 +160,7 @@ def severity(docs: DataFrame, labels: DataFrame, each: int = 3_000) -> DataFrame
     columns = [c for c in docs.columns if c not in ("expected_severity", "grade", "kept")]
     docs = docs.select(*[F.col(f"`{c}`") for c in columns])
     model = train(labelled_sample(docs, labels, each))
+    trim()
     if model is None:
         return docs.withColumns({"expected_severity": F.lit(0.0), "grade": F.lit(0), "kept": F.lit(True)})
 
