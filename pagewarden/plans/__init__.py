@@ -1 +1,115 @@
+"""The audit as one plan: parse, rules, post-processing, summary, overview and reports."""
 
+from __future__ import annotations
+
+import json
+from functools import reduce
+
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..operators.dom import with_elements
+from ..operators.page_rules import SKIP_TARGETS, attr, rules_for, with_facts
+from ..operators.site_rules import COLUMNS, Frames, site_findings
+from .config import config
+
+
+def parsed(pages: DataFrame) -> DataFrame:
+    """Pages (site, file, route, absolute_url, html) with their elements and facts; parsed once, for all rules.
+
+    The elements are kept in memory and on disk, since many joins read them; what a lost executor held is parsed again.
+    """
+    return with_facts(with_elements(pages).persist(StorageLevel.MEMORY_AND_DISK))
+
+
+def findings(frames: Frames, settings: dict | None = None) -> DataFrame:
+    """All findings: site, file, check_idx, seq, level, rule_id, selector, message, confidence."""
+    c = settings or config()
+    own = frames.pages.select("site", "file", F.explode(rules_for(c)).alias("x")).select("site", "file", "x.*").select(*COLUMNS)
+    everything = reduce(DataFrame.unionByName, [own, *site_findings(frames, c)])
+    return post_process(everything, c)
+
+
+def post_process(found: DataFrame, c: dict) -> DataFrame:
+    """Severity overrides, then the early stop between families, then the cap on errors."""
+    if c["severity"]:
+        level = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in c["severity"].items() for x in kv]), F.col("rule_id")), F.col("level"))
+        found = found.withColumn("level", level).where("level <> 'off'")
+    if c["max_errors"]:
+        most = c["max_errors"]
+        per_family = [(int(r[0]), int(r[1])) for r in found.where("level = 'error'").groupBy("check_idx").count().collect()]  # 27 rows at most
+        total, cut = 0, 99
+        for idx, n in sorted(per_family):
+            total += n
+            if total >= most:
+                cut = idx
+                break
+        found = found.where(F.col("check_idx") <= cut)
+        order = Window.orderBy("check_idx", "site", "file", "seq", "rule_id", "selector", "message")
+        # only errors are ranked, and no more than the cap are kept of each family before
+        errors = found.where("level = 'error'").orderBy("check_idx", "site", "file", "seq", "rule_id", "selector", "message").limit(most)
+        found = found.where("level <> 'error'").unionByName(errors.withColumn("_n", F.row_number().over(order)).drop("_n"))
+    return found
+
+
+def without_baseline(found: DataFrame, baseline: DataFrame) -> DataFrame:
+    """Leaves out what a baseline (rule_id, file, selector) lists; an empty selector in it stands for every one."""
+    exact = found.join(baseline.select("rule_id", "file", "selector").distinct(), ["rule_id", "file", "selector"], "left_anti")
+    return exact.join(baseline.where("selector = ''").select("rule_id", "file").distinct(), ["rule_id", "file"], "left_anti").select(*found.columns)
+
+
+def summary(found: DataFrame, pages: DataFrame) -> DataFrame:
+    counts = [F.count_if(F.col("level") == x).alias(f"{x}s" if x != "info" else x) for x in ("error", "warning", "info")]
+    return found.agg(*counts, F.count(F.lit(1)).alias("total")).crossJoin(F.broadcast(pages.agg(F.count(F.lit(1)).alias("files_checked"))))
+
+
+def overview(pages: DataFrame) -> DataFrame:
+    """Seventeen properties of each page."""
+    exists = lambda test: F.exists("els", test)
+    named = lambda key, value: F.get(F.filter("els", lambda e: (e["tag"] == "meta") & (attr(e, key) == value)), F.lit(0))
+    content = lambda key, value: F.nullif(F.trim(F.try_element_at(named(key, value)["attrs"], F.lit("content"))), F.lit(""))
+    skip = F.exists("anchors", lambda e: attr(e, "href").startswith("#") & F.substring(attr(e, "href"), 2, 1000).isin(*SKIP_TARGETS))
+    return pages.select(
+        "site", "file", "route", F.nullif("title_text", F.lit("")).alias("title"), F.nullif("meta_description", F.lit("")).alias("description"), F.nullif("canonical", F.lit("")).alias("canonical"), F.nullif("html_lang", F.lit("")).alias("lang"),
+        F.col("first_h1").alias("h1_text"), "noindex", "has_viewport", content("property", "og:title").alias("og_title"), content("property", "og:image").alias("og_image"), content("name", "twitter:card").alias("twitter_card"),
+        F.size(F.filter("heading_levels", lambda x: x == 1)).alias("h1_count"), F.size("hreflangs").alias("n_hreflang"), skip.alias("has_skip_link"), F.col("ld_types").alias("types"), exists(lambda e: e["tag"] == "main").alias("has_main"),
+    )
+
+
+def type_histogram(pages: DataFrame) -> DataFrame:
+    return pages.select(F.explode("ld_types").alias("type")).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def report(found: DataFrame, pages: DataFrame, kind: str = "json") -> str:
+    """A report as text: json, markdown, sarif or text. The driver writes it row by row; for bulk, write the DataFrame."""
+    total = summary(found, pages).first().asDict()
+    rows = (r.asDict() for r in found.orderBy("check_idx", "site", "file", "seq", "rule_id", "selector").toLocalIterator())
+    public = ("level", "rule_id", "file", "selector", "message", "confidence")
+    if kind == "json":
+        return json.dumps({"findings": [{k: r[k] for k in public if r[k] is not None} for r in rows], "summary": total}, indent=2, ensure_ascii=False)
+    if kind == "markdown":
+        line = lambda r: "| " + " | ".join(str(r[k]).replace("|", "\\|") for k in ("rule_id", "file", "message")) + " |"
+        by = {"error": [], "warning": [], "info": []}
+        for r in rows:
+            by[r["level"]].append(line(r))
+        return "\n".join([f"# Audit\n\n{total['errors']} errors, {total['warnings']} warnings, {total['info']} notes in {total['files_checked']} files"] + [f"\n## {x}\n\n| rule | file | message |\n|-|-|-|\n" + "\n".join(v) for x, v in by.items() if v])
+    if kind == "sarif":
+        every = list(rows)
+        ids = sorted({r["rule_id"] for r in every})
+        level = {"error": "error", "warning": "warning", "info": "note"}
+        results = [{"ruleId": r["rule_id"], "ruleIndex": ids.index(r["rule_id"]), "level": level[r["level"]], "message": {"text": r["message"]}, "locations": [{"physicalLocation": {"artifactLocation": {"uri": r["file"]}}}]} for r in every]
+        return json.dumps({"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [{"tool": {"driver": {"name": "pagewarden", "rules": [{"id": x} for x in ids]}}, "results": results}]}, indent=2)
+    if kind == "text":
+        out, file = [], None
+        for r in sorted(rows, key=lambda r: r["file"]):
+            if r["file"] != file:
+                out.append(file := r["file"])
+            out.append(f"  {r['level']:<8}{r['rule_id']}  {r['message']}")
+        return "\n".join([*out, f"{total['errors']} errors, {total['warnings']} warnings, {total['info']} notes"])
+    raise ValueError(f"unknown report {kind}")
+
+
+def exit_code(total: dict, c: dict) -> int:
+    over = c["max_warnings"] is not None and total["warnings"] > c["max_warnings"]
+    return int(total["errors"] > 0 or (c["strict"] and total["warnings"] > 0) or over)

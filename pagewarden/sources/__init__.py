@@ -1 +1,43 @@
+"""Collections of pages: a table of addresses and HTML, or a folder of built HTML files."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import normalize_path, origin, route_of_file, url_path
+
+
+def from_table(pages: DataFrame, trailing_slash: str = "always", index_html: str = "forbid") -> DataFrame:
+    """Pages (site, file, route, absolute_url, html) from rows (url, html); a site is an origin, a file is the address."""
+    route = route_of_file(url_path(F.col("url")), trailing_slash, index_html)
+    site = origin(F.col("url"))
+    return pages.where(site.isNotNull()).select(site.alias("site"), F.col("url").alias("file"), route.alias("route"), F.concat(site, route).alias("absolute_url"), "html")
+
+
+def from_folder(spark: SparkSession, folder: str, base_url: str | None = None, include: list[str] = (), exclude: list[str] = (), trailing_slash: str = "always", index_html: str = "forbid") -> tuple[DataFrame, DataFrame]:
+    """(pages, all files as (site, path, length)) of a folder of one site; include and exclude are globs over paths."""
+    root = folder.rstrip("/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    path = F.expr(f"substring(path, locate('{root.split('://')[-1]}/', path) + {len(root.split('://')[-1]) + 1})")
+    base = F.lit(base_url).cast("string")
+    named = files.select(F.coalesce(origin(base), F.lit("")).alias("site"), path.alias("file"), "length", "content")
+    pages = named.where(F.col("file").rlike(r"\.html?$") & F.expr("is_valid_utf8(content)"))
+    matches = lambda globs: F.expr(" OR ".join(f"file RLIKE '{_regex(g)}'" for g in globs))
+    if include:
+        pages = pages.where(matches(include))
+    if exclude:
+        pages = pages.where(~matches(exclude))
+    route = route_of_file(F.col("file"), trailing_slash, index_html)
+    pages = pages.select("site", "file", route.alias("route"), F.when(base.isNotNull(), F.concat("site", route)).alias("absolute_url"), F.col("content").cast("string").alias("html"))
+    return pages, named.select("site", F.col("file").alias("path"), "length")
+
+
+def _regex(glob: str) -> str:
+    out = ""
+    for part in (glob.replace("**/", "\x00").replace("**", "\x01")):
+        out += {"\x00": "(?:.*/)?", "\x01": ".*", "*": "[^/]*", "?": "[^/]"}.get(part, part if part.isalnum() or part in "/_-" else f"[{part}]")
+    return f"^{out}$"
+
+
+__all__ = ["from_folder", "from_table", "normalize_path"]
