@@ -56,6 +56,12 @@ def tidy(spark: SparkSession) -> None:
     deleted(spark, *list(_MADE))
 
 
+def bounded_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Fewer rows in the Arrow batches between Spark and its Python workers, unless the session already says so."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def stored(df: DataFrame, kind: str = "table") -> DataFrame:
     """Writes a DataFrame to the shared folder and reads it back: cuts lineage and survives lost executors."""
     spark, path = df.sparkSession, new_folder(df.sparkSession, kind)

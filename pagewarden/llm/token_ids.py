@@ -25,7 +25,7 @@ END_ID = 0
 #: Any white space other than single spaces and single line feeds between other characters (fixed set: Unicode White_Space and U+001C to U+001F).
 _WIDE = "\\t\\x0B\\x0C\\r\\x1C-\\x1F\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
 _UNEASY = f"[{_WIDE}\\x01]|[ \\n][ \\n]|\\A[ \\n]|[ \\n]\\z"
-_MEMO_MOST, _CHUNK, _RECENT = 1_200_000, 64_000, 150_000
+_MEMO_MOST, _CHUNK, _RECENT = 1_000_000, 64_000, 100_000
 _SLICE_BYTES = 3_000_000
 
 
