@@ -81,7 +81,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    title = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
+    # a title's length and value are those of its text, in which a character reference is one character
+    title = "replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&')"
     every = lambda rule, level: f"SELECT '{rule}' AS rule_id, url AS file, '{level}' AS level FROM pages"
     # a tag of the raw pages: regular markup, so a pattern finds what the parser finds
     hrefs = "unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1))"
