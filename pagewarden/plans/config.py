@@ -5,6 +5,8 @@ from __future__ import annotations
 import copy
 import json
 
+from .presets import GROUPS, PRESETS
+
 _OFF = {"enabled": False}
 DEFAULTS: dict = {
     "site": {"base_url": None}, "filters": {"include": [], "exclude": []},
@@ -41,9 +43,34 @@ class ConfigError(ValueError):
     pass
 
 
-def config(user: dict | str | None = None, preset: dict | None = None) -> dict:
-    """Full settings: the user's over the preset's over the defaults, two levels deep."""
+def with_groups(user: dict, groups: dict[str, bool | str]) -> dict:
+    """The user's settings over those of rule groups; a group set to "warn" lowers its own rules to warnings."""
+    out, lowered = {}, {}
+    for name, value in groups.items():
+        if name not in GROUPS:
+            raise ConfigError(f"unknown group {name}")
+        if value:
+            settings, rules = GROUPS[name]
+            for section, body in settings.items():
+                out[section] = out.get(section, {}) | body
+            lowered |= dict.fromkeys(rules, "warning") if value == "warn" else {}
+    for key, value in user.items():
+        out[key] = out[key] | value if isinstance(value, dict) and isinstance(out.get(key), dict) else value
+    return out | ({"severity": lowered | (user.get("severity") or {})} if lowered else {})
+
+
+def config(user: dict | str | None = None, preset: dict | str | None = None, groups: dict[str, bool | str] | None = None) -> dict:
+    """Full settings: the user's over the groups' over the preset's over the defaults, two levels deep.
+
+    A preset is a name or a dict; the user's settings may name one as "preset".
+    """
     user = json.loads(user) if isinstance(user, str) else user or {}
+    preset = preset or user.get("preset")
+    if isinstance(preset, str):
+        if preset not in PRESETS:
+            raise ConfigError(f"unknown preset {preset}")
+        preset = PRESETS[preset]
+    user = with_groups(user, groups or {})
     out = copy.deepcopy(DEFAULTS)
     for layer in (preset or {}, user):
         for key, value in layer.items():

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import normalize_path, origin, route_of_file, url_path
+from .site_files import content, robots, sitemap
 
 
 def from_table(pages: DataFrame, trailing_slash: str = "always", index_html: str = "forbid") -> DataFrame:
@@ -40,4 +41,4 @@ def _regex(glob: str) -> str:
     return f"^{out}$"
 
 
-__all__ = ["from_folder", "from_table", "normalize_path"]
+__all__ = ["content", "from_folder", "from_table", "normalize_path", "robots", "sitemap"]

@@ -5,7 +5,8 @@ from pagewarden.operators.dom import linked_data, parse
 from pagewarden.operators.site_rules import Frames
 from pagewarden.plans import exit_code, findings, parsed, report, summary, without_baseline
 from pagewarden.plans.config import ConfigError, config
-from pagewarden.sources import from_table
+from pagewarden.sources import content, from_folder, from_table, robots, sitemap
+from pagewarden.sources.site_files import locations
 from pyspark.sql import functions as F
 import pytest
 
@@ -88,3 +89,47 @@ def test_severity_baseline_reports_and_exit(spark):
 def test_max_errors(spark):
     found = audit(spark, [(f"https://a.example/{i}/", "<html></html>") for i in range(5)], max_errors=3)
     assert found.where("level = 'error'").count() == 3
+
+
+def test_presets_and_groups():
+    assert config(preset="strict") == config(preset="production") == config({"preset": "strict"})
+    assert config(preset="strict")["strict"] and config(preset="strict")["robots_txt"]["check_disallow_all"]
+    assert not config({"headings": {"require_h1": False}}, "strict")["headings"]["require_h1"]
+    for name in ("relaxed", "standard", "seo", "accessibility", "performance"):
+        config(preset=name)
+    c = config({"severity": {"links/broken": "error"}, "links": {"check_fragments": False}}, groups={"links": "warn", "a11y": True, "seo": False})
+    assert c["links"]["detect_orphan_pages"] and not c["links"]["check_fragments"] and c["a11y"]["require_skip_link"]
+    assert c["severity"]["links/broken"] == "error" and c["severity"]["links/orphan-page"] == "warning" and "a11y/img-alt" not in c["severity"]
+    for bad in ({"preset": "none"}, {"groups": {"none": True}}):
+        with pytest.raises(ConfigError):
+            config(**bad)
+
+
+def test_sitemap_addresses():
+    assert locations(None) == ("missing", [])
+    assert locations(b"<urlset><url><loc> https://a.example/?a=1&amp;b=2 </loc></url><x:loc>no</x:loc><loc><![CDATA[no]]></loc><loc>b</loc>") == ("ok", ["https://a.example/?a=1&b=2", "b"])
+    assert [locations(x)[0] for x in (b"<urlset><url><loc>x</lo", b"<a></b>", b"<loc>\xff</loc>", b"")] == ["malformed", "malformed", "malformed", "ok"]
+
+
+def test_side_files_of_a_folder(spark, tmp_path):
+    site, items = tmp_path / "dist", tmp_path / "src" / "content" / "blog"
+    site.mkdir()
+    (items / "_drafts").mkdir(parents=True)
+    (site / "index.html").write_text(GOOD.format(""))
+    (site / "sitemap.xml").write_text("<urlset><url><loc>https://a.example/gone/</loc></url><url><loc>https://a.example/gone/</loc></url></urlset>")
+    (site / "robots.txt").write_text("User-agent: *\r\nDisallow: /\n")
+    (items / "Post.md").write_text("text")
+    (items / "other.mdx").write_text("---\ntitle: x\nslug: \"/a/b/\"\n---\nslug: no")
+    for skipped in ("index.md", "_drafts/d.md", "note.txt"):
+        (items / skipped).write_text("x")
+    base = "https://a.example"
+    urls, state = sitemap(spark, str(site), base)
+    assert [tuple(r) for r in urls.collect()] == [(base, f"{base}/gone/")] and state.first().state == "ok"
+    assert [r.line for r in robots(spark, str(site), base).orderBy("line_no").collect()][:2] == ["User-agent: *", "Disallow: /"]
+    assert sorted((r.path, r.slug) for r in content(spark, str(tmp_path), base).collect()) == [("src/content/blog/Post.md", "post"), ("src/content/blog/other.mdx", "a/b")]
+    assert sitemap(spark, str(items), base)[1].first().state == "missing" and robots(spark, str(items)).count() == 0 and content(spark, str(site)).count() == 0
+    pages, files = from_folder(spark, str(site), base)
+    frames = Frames(parsed(pages), files, urls, state, robots(spark, str(site), base), content(spark, str(tmp_path), base))
+    found = {(r.rule_id, r.file) for r in findings(frames, config({"content_sync": {"enabled": True}})).collect()}
+    assert {("sitemap/entry-not-in-dist", "sitemap.xml"), ("content/missing-page", "src/content/blog/Post.md"), ("content/missing-page", "src/content/blog/other.mdx")} <= found
+    assert any(rule == "robots-txt/disallow-all" for rule, _ in found), sorted(found)
