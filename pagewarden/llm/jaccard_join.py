@@ -28,6 +28,8 @@ from .word_hashes import hashed, mixed, shingle_sets
 
 WORDS, PERCENT = 4, 85
 _UNIT_NGRAMS, _FRAGMENT = 1_000_000, 4_096
+#: A set counts as so many n-grams at least when units are filled, so the matrix of a unit's pairs is bounded too.
+_LEAST_WEIGHT = 700
 
 
 @lru_cache(maxsize=4)
@@ -137,13 +139,14 @@ def _linked(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int
 
 def _tree(linked: np.ndarray) -> list[tuple[int, int]]:
     """Pairs of a forest with the same components as a matrix of links (rows and columns are the same sets)."""
-    out, todo = [], set(range(len(linked)))
-    while todo:
-        stack = [todo.pop()]
+    out, todo = [], np.ones(len(linked), dtype=bool)
+    for root in range(len(linked)):
+        stack = [root] if todo[root] else []
+        todo[root] = False
         while stack:
             x = stack.pop()
-            near = [int(y) for y in np.flatnonzero(linked[x]) if int(y) in todo]
-            todo.difference_update(near)
+            near = np.flatnonzero(linked[x] & todo).tolist()
+            todo[near] = False
             out += [(x, y) for y in near]
             stack += near
     return out
@@ -207,9 +210,10 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     able = real.select("doc_id", "n_shingles", "least").join(shared, "doc_id").where("n >= least").select("doc_id", "n_shingles").dropDuplicates(["doc_id"])
     clusters = components(star.select("a", "b")).withColumnsRenamed({"node": "doc_id", "component": "cluster"})
     weights = stored(able.join(clusters, "doc_id"), "clusters")
-    placed = ranked(weights.withColumn("h", F.xxhash64("doc_id")), ["cluster"], "h", ["doc_id"], 64, "before", "n_shingles")
+    weighed = weights.withColumn("h", F.xxhash64("doc_id")).withColumn("weight", F.greatest("n_shingles", F.lit(_LEAST_WEIGHT).cast("long")))
+    placed = ranked(weighed, ["cluster"], "h", ["doc_id"], 64, "before", "weight")
     placed = placed.withColumn("block", F.floor(F.col("before") / _UNIT_NGRAMS).cast("int"))
-    blocks = placed.groupBy("cluster").agg((F.max("block") + 1).alias("blocks"), F.sum("n_shingles").alias("total"))
+    blocks = placed.groupBy("cluster").agg((F.max("block") + 1).alias("blocks"), F.sum("weight").alias("total"))
     blocks = stored(blocks, "blocks")
     total = int(blocks.agg(F.sum("total")).first()[0] or 0)
     shared_units = max(1, total // (2 * _UNIT_NGRAMS))
