@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import corpus_pipeline
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -146,6 +147,44 @@ def test_jaccard_join(docs, none, texts):
     assert jaccard_join.jaccard_join(none).count() == 0
 
 
+def near_classes(sets, percent):
+    """Links and the least id of each component, by brute force over all pairs."""
+    links = {i: [j for j, b in sets.items() if i != j and a and b and 100 * len(a & b) >= percent * len(a | b)] for i, a in sets.items()}
+    least = {i: i for i in sets}
+    while any(least[i] != min(least[j] for j in [i, *links[i]]) for i in sets):
+        least = {i: min(least[j] for j in [i, *links[i]]) for i in sets}
+    return links, least
+
+
+def edited_chain(n=40):
+    """Texts of which each differs from the one before in two words, so that only the nearest are linked; then a copy of the first."""
+    rng, words = random.Random(5), prose(5, 200).split()
+    out = []
+    for i in range(n):
+        out.append((i, " ".join(words)))
+        for _ in range(2):
+            words[rng.randrange(200)] = f"new{i}"
+    return [*out, (n, out[0][1]), (n + 1, prose(6, 200)), (n + 2, "a b"), (n + 3, None)]
+
+
+def test_jaccard_join_of_a_cluster_in_many_units(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "_UNIT_NGRAMS", 2_000)  # three or so documents a block
+    rows = edited_chain()
+    got = {r.doc_id: r for r in jaccard_join.jaccard_join(spark.createDataFrame(rows, DOCS)).collect()}
+    links, least = near_classes({i: shingles((t or "").lower(), 4) for i, t in rows}, 85)
+    assert max(map(len, links.values())) > 2 and len(got) == len(rows)
+    assert {i: (r.n_links, r.component_id) for i, r in got.items()} == {i: (len(links[i]), least[i]) for i in links}
+
+
+def test_pipeline_drops_near_copies_only(spark):
+    rows = edited_chain(12)
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    _, least = near_classes({i: shingles((t or "").lower(), 5) for i, t in rows}, 80)
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i in least if least[i] == i)
+
+
 def test_overlaps_by_blocks():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 400, 100).astype(np.uint64)) for _ in range(20)]
