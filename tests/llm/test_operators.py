@@ -201,6 +201,41 @@ def test_passages(docs, none):
     assert passages.op3_passages(none).count() == 0
 
 
+def changed(words, every, how, seed):
+    """Words of which one in ``every`` is substituted, deleted or has a new one after it."""
+    rng, out = random.Random(seed), []
+    for n, x in enumerate(words):
+        kind = rng.choice(how) if n % every == every // 2 else ""
+        out += {"": [x], "substitute": [f"s{seed}.{n}"], "insert": [x, f"i{seed}.{n}"], "delete": []}[kind]
+    return out
+
+
+def matched_words(a, b):
+    """Words of the best alignment of two texts, by brute force."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        up, row = row, [0]
+        for j, y in enumerate(b):
+            row.append(up[j] + 1 if x == y else max(up[j + 1], row[j]))
+    return row[-1]
+
+
+def test_passages_with_changed_words(spark):
+    rows, want = [], {}
+    kinds = [(60, 10, ["substitute"]), (60, 6, ["substitute"]), (80, 5, ["substitute"]), (60, 10, ["substitute", "insert", "delete"]), (80, 8, ["insert"]), (80, 8, ["delete"])]
+    for i in range(60):
+        n, every, how = kinds[i % len(kinds)]
+        own = [f"{i}.{w}" for w in prose(i, n).split()]
+        other = changed(own, every, how, i)
+        rows += [(i, " ".join([prose(1000 + i, 40), *own, prose(2000 + i, 40)])), (1000 + i, " ".join([prose(3000 + i, 40), *other, prose(4000 + i, 40)]))]
+        if matched_words(own, other) >= 0.8 * max(len(own), len(other)):
+            want[1000 + i, i] = other
+    found = {(r.doc_id, r.partner_id): r for r in passages.repeated_passages(spark.createDataFrame(rows, DOCS)).collect()}
+    assert len(want) > 50 and found.keys() == want.keys()
+    for pair, other in want.items():
+        assert found[pair].start_word <= 46 and found[pair].end_word >= 40 + len(other) - 6 and found[pair].identity >= 0.8
+
+
 def test_cutting(spark):
     own = spark.createDataFrame([(1, "a  b\nc d", 8), (2, "a b", 3), (3, None, 0)], "doc_id long, text string, n_chars long")
     spans = spark.createDataFrame([(1, 1, 3), (1, 2, 3), (2, 0, 2)], "doc_id long, start_word int, end_word int")
