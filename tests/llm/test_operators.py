@@ -236,6 +236,20 @@ def test_passages_with_changed_words(spark):
         assert found[pair].start_word <= 46 and found[pair].end_word >= 40 + len(other) - 6 and found[pair].identity >= 0.8
 
 
+@pytest.mark.parametrize(("parts", "n"), [(2, 30), (3, 20), (5, 12)])
+def test_passages_whose_lines_occurred_before(spark, parts, n):
+    rows = []
+    for t in range(12):
+        lines = [" ".join(f"{t}.{w}" for w in prose(100 * t + q, n).split()) for q in range(parts)]
+        # each line alone in documents before and between the two that have all of them
+        rows += [(e * 1000 + 10 * t + q, " ".join([prose(f"{e} {t} {q}", 30), line, prose(f"{e} {q} {t}", 30)])) for e in (0, 2) for q, line in enumerate(lines)]
+        rows += [(e * 1000 + 10 * t, " ".join([prose(f"{e} {t}", 30), *lines, prose(f"{e} {t} end", 30)])) for e in (1, 3)]
+    cover = {}
+    for r in passages.repeated_passages(spark.createDataFrame(rows, DOCS)).collect():
+        cover.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+    assert cover.keys() == {3000 + 10 * t for t in range(12)} and all(set(range(30, 30 + parts * n)) <= x for x in cover.values())
+
+
 def test_cutting(spark):
     own = spark.createDataFrame([(1, "a  b\nc d", 8), (2, "a b", 3), (3, None, 0)], "doc_id long, text string, n_chars long")
     spans = spark.createDataFrame([(1, 1, 3), (1, 2, 3), (2, 0, 2)], "doc_id long, start_word int, end_word int")
