@@ -185,6 +185,17 @@ def test_pipeline_drops_near_copies_only(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i in least if least[i] == i)
 
 
+def test_pipeline_keeps_documents_without_or_with_repeated_ids(spark):
+    a, b, c, d, e = (prose(7000 + i, 100) for i in range(5))
+    rows = [(None, a), (None, b), (None, None), (1, c), (1, c), (1, d), (1, None), (2, e), (3, e + " more"), (4, d + " more"), (5, c)]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
+    left = {(None, a), (None, b), (None, None), (1, None), (2, e)}
+    assert left <= set(kept) and len(kept) == len(left) + 2
+    # one of each group of near copies, whichever of the texts of doc_id 1 has the number of its own
+    assert len({(1, c), (5, c)} & set(kept)) == 1 and len({(1, d), (4, d + " more")} & set(kept)) == 1
+
+
 def test_overlaps_by_blocks():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 400, 100).astype(np.uint64)) for _ in range(20)]
