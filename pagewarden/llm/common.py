@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -69,7 +70,13 @@ def stored(df: DataFrame, kind: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def kept_by_size(df: DataFrame, ids: DataFrame, key: str, how: str, most: int = 2_000_000) -> DataFrame:
+def released(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of steps whose results are stored; Spark does so when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def kept_by_size(df: DataFrame, ids: DataFrame, key: str | list[str], how: str, most: int = 500_000) -> DataFrame:
     """left_semi or left_anti join of rows with a table of long ids; the ids are broadcast only if they are at most ``most``."""
     few = ids.count() <= most
     return df.join(F.broadcast(ids) if few else ids, key, how)

@@ -1,9 +1,14 @@
 """Exact Jaccard join of n-gram sets by vertical partitioning.
 
-The n-grams' global order (that of their hashes) is cut into fragments. Documents whose similarity reaches the
-threshold differ in so few n-grams that, among one fragment more than that, some fragment is the same in both: its
-content's hash is the join key, so candidates come from fragments joined separately. Candidates that hang together
-are gathered in units of bounded size; there each fragment's overlaps are counted on their own and summed per pair.
+The n-grams' global order (that of their hashes) is cut into fragments. First they screen the documents: a linked
+document shares all its n-grams but a known number with another one, so the n-grams of the order's lower half are dealt
+to buckets, each counts for every document the n-grams that others have too, and the counts are summed per document. Few
+documents are left, of which the rest works on the sets alone.
+
+Documents whose similarity reaches the threshold differ in so few n-grams that, among one fragment more than that, some
+fragment is the same in both: its content's hash is the join key, so candidates come from fragments joined separately.
+Candidates that hang together are gathered in units of bounded size; there each fragment's overlaps are counted on
+their own and summed per pair.
 
 There are a quarter more fragments than that, so linked documents share many of them; a document that shares fewer
 fragments with all others together cannot be linked to any and is left out.
@@ -19,10 +24,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, kept_by_size, ranked, salted, stored
+from .common import components, kept_by_size, ranked, released, salted, stored
 from .token_ids import slices
 from .word_hashes import hashed, mixed, shingle_sets
 
@@ -30,6 +37,11 @@ WORDS, PERCENT = 4, 85
 _UNIT_NGRAMS, _FRAGMENT = 1_000_000, 4_096
 #: A set counts as so many n-grams at least when units are filled, so the matrix of a unit's pairs is bounded too.
 _LEAST_WEIGHT = 700
+#: In the screening: n-grams that a worker gathers into a block, n-grams of a bucket, buckets at most.
+_BLOCK_NGRAMS, _BUCKET_NGRAMS, _MOST_BUCKETS = 2_000_000, 1_500_000, 1 << 17
+#: N-grams below are counted. An owner's number in a block is less than _KNOWN, which marks n-grams of several owners.
+_HALF, _KNOWN = np.uint64(1 << 63), 0xFFFF
+_HEAD = np.dtype([("doc_id", "<i8"), ("valid", "?"), ("n", "<i8"), ("k1", "<i8"), ("k2", "<i8"), ("need", "<i8"), ("like", "<u2")])
 
 
 @lru_cache(maxsize=4)
@@ -152,42 +164,156 @@ def _tree(linked: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _joined(column: pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """(all numbers in a binary column, how many each row has); a null row has none."""
+    parts = [x.as_buffer() if x.is_valid else b"" for x in column]
+    flat = [np.frombuffer(x, dtype=kind) for x in parts]
+    return np.concatenate([np.zeros(0, dtype=kind), *flat]), np.array([len(x) for x in flat], dtype=np.int64)
+
+
+class _Block:
+    """Documents of a worker that are screened together."""
+
+    def __init__(self, number: int):
+        self.number, self.heads, self.sampled, self.at, self.like, self.size = number, [], [], [], {}, 0
+
+    def add(self, doc_id: int, valid: bool, ngrams: np.ndarray, percent: int) -> None:
+        n, place = len(ngrams), len(self.heads)
+        k1, k2 = _key(ngrams)
+        like = self.like.setdefault((n, k1, k2), place) if valid and n else place
+        own = ngrams[: int(np.searchsorted(ngrams, _HALF))]
+        # so many of the counted n-grams must be shared: the others, counted or not, are at most those that a link may lack
+        need = len(own) - (100 - percent) * n // 100 if valid and n else 2**40
+        self.heads.append((doc_id, valid, n, k1, k2, need, like))
+        if like == place and valid and n:
+            self.sampled.append(own)
+            self.at.append(place)
+            self.size += len(own)
+
+    def rows(self, buckets: int) -> pa.RecordBatch:
+        """Rows (SCREENED): each counted n-gram once, by buckets; those of several sets here count for these already."""
+        heads = np.array(self.heads, dtype=_HEAD)
+        flat = np.concatenate([np.zeros(0, dtype=np.uint64), *self.sampled])
+        owner = np.repeat(np.array(self.at, dtype=np.uint16), [len(x) for x in self.sampled])
+        bucket = ((flat >> np.uint64(31)) * np.uint64(buckets)) >> np.uint64(32)
+        flat = bucket << np.uint64(32) | flat & np.uint64(0xFFFFFFFF)
+        order = np.argsort(flat)
+        flat, owner = flat[order], owner[order]
+        fresh = np.concatenate([[True], flat[1:] != flat[:-1]]) if len(flat) else np.zeros(0, dtype=bool)
+        first = np.flatnonzero(fresh)
+        several = np.diff(np.concatenate([first, [len(flat)]])) > 1
+        heads["need"] -= np.bincount(owner[several[np.cumsum(fresh) - 1]], minlength=len(heads)) if len(flat) else 0
+        keys, owner = flat[first], np.where(several, _KNOWN, owner[first]).astype("<u2")
+        bucket = (keys >> np.uint64(32)).astype(np.int32)
+        cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(keys) else first
+        low = keys.astype("<u4")  # the lower half
+        ends = [*cuts[1:], len(keys)]
+        own = [(int(bucket[a]), low[a:b].tobytes(), owner[a:b].tobytes(), None) for a, b in zip(cuts, ends, strict=False)]
+        own.append((self.number % buckets, b"", b"", heads.tobytes()))
+        bucket, low, owner, head = zip(*own, strict=True)
+        return pa.RecordBatch.from_pydict({"bucket": pa.array(bucket, pa.int32()), "block": pa.array([self.number] * len(own), pa.int64()), "ngrams": pa.array(low, pa.binary()), "owners": pa.array(owner, pa.binary()), "heads": pa.array(head, pa.binary())})
+
+
+SCREENED = "bucket int, block long, ngrams binary, owners binary, heads binary"
+
+
+def screened(rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """Rows doc_id, n_shingles, k1, k2 (a key of the set) and able: false if the document is linked to no other text.
+
+    A bucket meets each n-gram once for each block, so one that very many documents have makes no bucket large. Copies
+    in different blocks count as different texts, so a text that has copies may be able because of them alone.
+    """
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    buckets = int(min(_MOST_BUCKETS, max(32, chars // 12 // _BUCKET_NGRAMS)))
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        block = _Block(number)
+        for batch in batches:
+            for part in slices(batch):
+                hashes, offsets, _, _ = hashed(part.column("text"))
+                ids, valid = pc.fill_null(part.column("doc_id"), 0).to_numpy(), np.asarray(part.column("doc_id").is_valid())
+                for i, ngrams in enumerate(shingle_sets(hashes, offsets, words)):
+                    block.add(int(ids[i]), bool(valid[i]), ngrams, percent)
+                    if block.size >= _BLOCK_NGRAMS or len(block.heads) >= _KNOWN:
+                        yield block.rows(buckets)
+                        block = _Block(number := number + 1)
+        yield block.rows(buckets)
+
+    def count(table: pa.Table) -> pa.Table:
+        ngrams, n = _joined(table.column("ngrams"), "<u4")
+        owner, _ = _joined(table.column("owners"), "<u2")
+        order = np.argsort(ngrams)
+        ngrams, owner, row = ngrams[order], owner[order], np.repeat(np.arange(len(n), dtype=np.int32), n)[order]
+        first = np.flatnonzero(np.concatenate([[True], ngrams[1:] != ngrams[:-1]])) if len(ngrams) else order
+        times = np.diff(np.concatenate([first, [len(ngrams)]]))
+        shared = (times > 1) | (owner[first] == _KNOWN)
+        told = np.flatnonzero(np.repeat(shared, times) & (owner != _KNOWN))
+        row, owner = row[told], owner[told]
+        order = np.argsort(row, kind="stable")
+        cuts = np.searchsorted(row[order], np.arange(len(n) + 1))
+        owner = owner[order]
+        return pa.table({"block": table.column("block"), "owners": pa.array([owner[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()), "heads": table.column("heads")})
+
+    def decide(table: pa.Table) -> pa.Table:
+        heads = np.concatenate([np.frombuffer(x.as_buffer(), dtype=_HEAD) for x in table.column("heads") if x.is_valid])
+        owner, _ = _joined(table.column("owners"), "<u2")
+        need = heads["need"] - np.bincount(owner, minlength=len(heads))
+        return pa.table({"doc_id": pa.array(heads["doc_id"], pa.int64(), mask=~heads["valid"]), "n_shingles": heads["n"], "k1": heads["k1"], "k2": heads["k2"], "able": need[heads["like"]] <= 0})
+
+    counted = rows.mapInArrow(emit, SCREENED).groupBy("bucket").applyInArrow(count, "block long, owners binary, heads binary")
+    return counted.groupBy("block").applyInArrow(decide, "doc_id long, n_shingles long, k1 long, k2 long, able boolean")
+
+
 def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Links documents whose sets of ``words``-word shingles have a Jaccard similarity of ``percent`` / 100 or more.
 
     One row per row of (doc_id, text): doc_id, n_shingles, component_id (the least doc_id reachable by links, itself
     included) and n_links (documents that it is linked to). A-Z count as a-z. A text of fewer words is one shingle; a
-    null text or one without words has no shingle and no link. Rows with the same doc_id are one document; a row
-    without doc_id has a null component. An empty table gives an empty result; other columns aren't read.
+    null text or one without words has no shingle and no link. Rows with the same doc_id and text are one document; of
+    different texts with one doc_id, that with the least key of its set stands for the document. A row without doc_id
+    has a null component and no links. Texts may have any length. An empty table gives an empty result; other columns
+    aren't read.
     """
     rows = docs.select(F.col("doc_id").cast("long"), "text")
+    spark = docs.sparkSession
+    sizes = stored(screened(rows, words, percent), "sets")
+    released(spark)
+    real = sizes.where("n_shingles > 0 and doc_id is not null")
+    several = real.groupBy("doc_id").agg(F.min(F.struct("k1", "k2")).alias("one"), F.max(F.struct("k1", "k2")).alias("other")).where("one <> other")
+    several = stored(several.select("doc_id", "one"), "several")  # usually empty
+    repeated = not several.isEmpty()
+    if repeated:
+        real = real.join(several, "doc_id", "left").where(F.col("one").isNull() | (F.struct("k1", "k2") == F.col("one"))).drop("one")
+    copies = real.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("copies")).where("copies > 1")
+    copies = stored(copies, "copies")
+    wanted = salted(real.where("able").select("doc_id", "k1", "k2"), copies, ["k1", "k2"], "doc_id").where("rep is null or doc_id = rep")
+    wanted = stored(wanted.select("doc_id", "k1", "k2").distinct(), "able")  # a document for each set
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 hashes, offsets, _, _ = hashed(part.column("text"))
                 sets = shingle_sets(hashes, offsets, words)
                 k = np.array([_key(s) for s in sets], dtype=np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "least": pa.array([least_shared(s, percent) if len(s) else 0 for s in sets], pa.int64()), "k1": k[:, 0], "k2": k[:, 1]})
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "k1": k[:, 0], "k2": k[:, 1], "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "least": pa.array([least_shared(s, percent) if len(s) else 0 for s in sets], pa.int64()), "ngrams": pa.array([s.tobytes() for s in sets], pa.binary())})
 
-    sizes = stored(rows.mapInArrow(keys, "doc_id long, n_shingles long, least long, k1 long, k2 long"), "sets")
-    real = sizes.where("n_shingles > 0 and doc_id is not null")
-    copies = real.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    copies = stored(copies, "copies")
-    spare = stored(salted(real.select("doc_id", "k1", "k2"), copies, ["k1", "k2"], "doc_id").where("doc_id <> rep").select("doc_id").distinct(), "spare")
-    once = kept_by_size(rows.where("doc_id is not null"), spare, "doc_id", "left_anti")  # a document for each set
+    some = kept_by_size(rows, wanted.select("doc_id"), "doc_id", "left_semi").mapInArrow(arrays, "doc_id long, k1 long, k2 long, n_shingles long, least long, ngrams binary")
+    if repeated:
+        some = some.join(wanted, ["doc_id", "k1", "k2"], "left_semi")
+    sets = stored(some, "ngrams")
+    again = sets.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")  # rows with equal doc_id and text
+    if not again.isEmpty():
+        sets = stored(sets.dropDuplicates(["doc_id"]), "ngrams")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                hashes, offsets, _, _ = hashed(part.column("text"))
-                found = [(i, signatures(s, percent)) for i, s in enumerate(shingle_sets(hashes, offsets, words)) if len(s)]
-                if not found:
-                    continue
-                ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-                owner = ids[np.repeat(np.array([i for i, _ in found], dtype=np.int64), [len(s) for _, s in found])]
-                sigs, owner, times = _first_owners(np.concatenate([s for _, s in found]), owner)
-                yield pa.RecordBatch.from_pydict({"sig": sigs.view(np.int64), "doc_id": owner, "times": times})
+        for batch in (x.slice(n, 1_000) for x in batches for n in range(0, x.num_rows, 1_000)):
+            found = [signatures(np.frombuffer(x.as_buffer(), dtype=np.uint64), percent) for x in batch.column("ngrams")]
+            if not found:
+                continue
+            owner = np.repeat(batch.column("doc_id").to_numpy(), [len(s) for s in found])
+            sigs, owner, times = _first_owners(np.concatenate(found), owner)
+            yield pa.RecordBatch.from_pydict({"sig": sigs.view(np.int64), "doc_id": owner, "times": times})
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, leader = None, None
@@ -204,10 +330,10 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
             pairs, which = np.unique(np.stack([ids[differ], lead[differ]]), axis=1, return_inverse=True)
             yield pa.RecordBatch.from_pydict({"a": pairs[0], "b": pairs[1], "n": np.bincount(which.ravel(), times[differ], minlength=pairs.shape[1]).astype(np.int64)})
 
-    keyed = once.mapInArrow(emit, "sig long, doc_id long, times int").repartition("sig").sortWithinPartitions("sig", "doc_id")
+    keyed = sets.select("doc_id", "ngrams").mapInArrow(emit, "sig long, doc_id long, times int").repartition("sig").sortWithinPartitions("sig", "doc_id")
     star = stored(keyed.mapInArrow(meet, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")), "star")
     shared = star.select(F.col("a").alias("doc_id"), "n").union(star.select("b", "n")).groupBy("doc_id").agg(F.sum("n").alias("n"))
-    able = real.select("doc_id", "n_shingles", "least").join(shared, "doc_id").where("n >= least").select("doc_id", "n_shingles").dropDuplicates(["doc_id"])
+    able = sets.select("doc_id", "n_shingles", "least").join(shared, "doc_id").where("n >= least").select("doc_id", "n_shingles")
     clusters = components(star.select("a", "b")).withColumnsRenamed({"node": "doc_id", "component": "cluster"})
     weights = stored(able.join(clusters, "doc_id"), "clusters")
     weighed = weights.withColumn("h", F.xxhash64("doc_id")).withColumn("weight", F.greatest("n_shingles", F.lit(_LEAST_WEIGHT).cast("long")))
@@ -225,15 +351,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     placed = stored(placed.select("doc_id", "cluster", "block", "other", unit.alias("unit")), "units")
     copied = copies.select(F.col("rep").alias("doc_id"), "copies").dropDuplicates(["doc_id"])
 
-    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                hashes, offsets, _, _ = hashed(part.column("text"))
-                sets = shingle_sets(hashes, offsets, words)
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "ngrams": pa.array([s.tobytes() for s in sets], pa.binary())})
-
-    some = kept_by_size(once, weights.select("doc_id"), "doc_id", "left_semi").mapInArrow(arrays, "doc_id long, ngrams binary")
-    full = placed.join(some, "doc_id").join(copied, "doc_id", "left").select("unit", "cluster", "doc_id", "block", "other", "ngrams", F.coalesce("copies", F.lit(1)).alias("copies"))
+    full = placed.join(sets.select("doc_id", "ngrams"), "doc_id").join(copied, "doc_id", "left").select("unit", "cluster", "doc_id", "block", "other", "ngrams", F.coalesce("copies", F.lit(1)).alias("copies"))
 
     def link(table: pa.Table) -> pa.Table:
         frame = table.select(["cluster", "doc_id", "block", "other", "copies"]).to_pandas()
