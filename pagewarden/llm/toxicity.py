@@ -1,20 +1,24 @@
 """Severity of toxic language by cumulative-link ordinal regression over sparse text features.
 
-Features are the distinct words of a text, lower-cased and without outer punctuation, and the first four and five
-letters of longer ones (an insult keeps its stem when it is inflected). P(severity > k) is a logistic
+Features are the words of a text, lower-cased and without outer punctuation, and the first four to seven letters of
+longer ones (an insult keeps its stem when it is inflected); a feature's value is how often it stands there over the
+square root of the text's words, so that a long text isn't severe for a stray word. P(severity > k) is a logistic
 function of one weighted sum of features, shared by all grades, less the threshold of grade k; thresholds ascend. The
 expected severity is the sum of these probabilities over k.
 
-Labels only tell toxic from clean, so the grades of toxic sample texts are made from the sample: the share of words
-with features that tell toxic sample texts from clean ones, cut at its quantiles.
+Of all features those are chosen whose texts are toxic too often for chance: an exact test, held against the number of
+features tested, so that a small sample yields few features rather than wrong ones. Labels only tell toxic from clean,
+so the grades of toxic sample texts are made from the sample: the share of words with chosen features, cut at its
+quantiles.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from math import exp, lgamma, log, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +29,7 @@ from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField,
 from .common import first_by_hash
 from .token_ids import slices, trim
 
-GRADES, _BUCKETS = 3, 1 << 21
+GRADES, STEMS, SCALE = 3, (4, 5, 6, 7), 4.0
 _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 
 
@@ -34,10 +38,9 @@ def words_in(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def features(words: list[str]) -> set[str]:
-    """Distinct words, and stems of longer ones marked by a star."""
-    own = set(words)
-    return own | {f"{w[:4]}*" for w in own if len(w) > 4} | {f"{w[:5]}*" for w in own if len(w) > 5}
+def features(word: str) -> list[str]:
+    """A word and its stems, which are marked by a star."""
+    return [word, *(f"{word[:n]}*" for n in STEMS if len(word) > n)]
 
 
 @dataclass
@@ -48,11 +51,26 @@ class Model:
     cut: float = 0.5  #: expected severity from which a text is rejected
     held_out: dict[str, float] = field(default_factory=dict)
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
-        return np.array([sum(self.weights[self.words[w]] for w in self.words.keys() & features(words_in(t))) for t in texts])
+    def __post_init__(self):
+        self.starts = {w[: STEMS[0]] for w in self.words}
+
+    def scores(self, texts: list) -> np.ndarray:
+        """The weighted sums of features of texts given as their words."""
+        out = np.zeros(len(texts))
+        for i, words in enumerate(texts):
+            # few words begin like a feature
+            near = Counter(w for w in words if w[: STEMS[0]] in self.starts)
+            for w, n in near.items():
+                n = words[w] if isinstance(words, Counter) else n
+                out[i] += n * sum(self.weights[self.words[x]] for x in features(w) if x in self.words)
+            out[i] *= SCALE / sqrt(words.total() if isinstance(words, Counter) else len(words)) if near else 0
+        return out
 
     def severity(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(expected severity, most probable grade) of each text."""
+        return self.of_words([words_in(t) for t in texts])
+
+    def of_words(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         above = _sigmoid(self.scores(texts)[:, None] - self.thresholds)
         each = -np.diff(np.hstack([np.ones((len(texts), 1)), above, np.zeros((len(texts), 1))]))
         return above.sum(axis=1), each.argmax(axis=1)
@@ -62,100 +80,158 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_features: int, n_grades: int, penalty: float = 0.001, rounds: int = 400, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and ascending thresholds that minimise the cumulative-link loss with a ridge penalty, by Adam.
+def ordinal_loss(theta: np.ndarray, rows: tuple[np.ndarray, np.ndarray, np.ndarray], over: np.ndarray, balance: np.ndarray, n_features: int, penalty: float) -> tuple[float, np.ndarray]:
+    """The cumulative-link loss with a ridge penalty and its gradient.
+
+    ``theta`` has the weights, the first threshold and the logarithms of the steps to the others; ``rows`` are (text,
+    feature, value) of all values that aren't 0; ``over`` tells of each text and threshold whether its grade is above.
+    """
+    row, column, value = rows
+    weights, steps = theta[:n_features], np.concatenate([theta[n_features : n_features + 1], np.exp(theta[n_features + 1 :])])
+    margin = np.bincount(row, weights[column] * value, minlength=len(over))[:, None] - np.cumsum(steps)
+    loss = float((balance * np.logaddexp(0, np.where(over > 0, -margin, margin))).sum() + penalty / 2 * (weights**2).sum())
+    slope = (_sigmoid(margin) - over) * balance
+    by_step = -np.cumsum(slope.sum(axis=0)[::-1])[::-1]
+    by_weight = np.bincount(column, slope.sum(axis=1)[row] * value, minlength=n_features) + penalty * weights
+    return loss, np.concatenate([by_weight, by_step[:1], by_step[1:] * steps[1:]])
+
+
+def fit_ordinal(rows: list[dict[int, float]], grades: np.ndarray, n_features: int, n_grades: int, penalty: float = 0.001, rounds: int = 400, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and ascending thresholds that minimise ordinal_loss(), by Adam, of texts given as values by features.
 
     Each threshold splits grades above it from the rest; both sides of a split weigh the same.
     """
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    column = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int64)
+    column = np.array([k for r in rows for k in r], dtype=np.int64)
+    value = np.array([v for r in rows for v in r.values()], dtype=float)
     over = (grades[:, None] > np.arange(n_grades)).astype(float)
     share = np.clip(over.mean(axis=0), 1e-3, 1 - 1e-3)
     balance = (over / share + (1 - over) / (1 - share)) / (2 * len(rows) * n_grades)
-    # thresholds are the first one and positive steps from it
-    theta = np.concatenate([np.zeros(n_features), [1.0], np.full(n_grades - 1, 0.5)])
+    theta = np.concatenate([np.zeros(n_features), [1.0], np.full(n_grades - 1, np.log(0.5))])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, rounds + 1):
-        weights, steps = theta[:n_features], np.concatenate([theta[n_features : n_features + 1], np.exp(theta[n_features + 1 :])])
-        score = np.bincount(row, weights[column], minlength=len(rows))
-        slope = (_sigmoid(score[:, None] - np.cumsum(steps)) - over) * balance
-        by_score = slope.sum(axis=1)
-        by_step = -np.cumsum(slope.sum(axis=0)[::-1])[::-1]
-        gradient = np.concatenate([np.bincount(column, by_score[row], minlength=n_features) + penalty * weights, by_step[:1], by_step[1:] * steps[1:]])
+        _, gradient = ordinal_loss(theta, (row, column, value), over, balance, n_features, penalty)
         m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
         theta = theta - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
     return theta[:n_features], np.cumsum(np.concatenate([theta[n_features : n_features + 1], np.exp(theta[n_features + 1 :])]))
 
 
-def train(sample: list[tuple[str | None, int]], grades: int = GRADES, most_words: int = 2_000, least_texts: int = 3, least_share: float = 0.01, least_errors: float = 5.5) -> Model | None:
-    """A model from (text, toxic 0 or 1); None if either kind is missing. The last quarter is held out to choose the cut."""
-    part = [t for i, t in enumerate(sample) if i % 4 != 3]
-    held = sample[3::4]
+def log_chance(toxic_with: int, texts_with: int, toxic: int, texts: int) -> float:
+    """The logarithm of the chance that of ``texts_with`` random texts so many or more are toxic (hypergeometric tail)."""
+    choose = lambda n, k: lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)
+    every = choose(texts, texts_with)
+    terms = [choose(toxic, k) + choose(texts - toxic, texts_with - k) - every for k in range(max(toxic_with, texts_with - texts + toxic), min(texts_with, toxic, toxic_with + 60) + 1)]
+    return max(terms) + log(sum(exp(t - max(terms)) for t in terms)) if terms else 0.0
+
+
+def counted(text: str | None) -> Counter:
+    """How often each word stands in a text."""
+    return Counter(words_in(text))
+
+
+def telling(toxic: list[Counter], clean: list[Counter], least_texts: int, doubt: float) -> list[str]:
+    """Features of more toxic texts than by chance, the surest first; then those of the toxic texts that have none, and so on.
+
+    The fewer toxic texts are left, the less likely it is that a feature is in several of them by chance.
+    """
+    own = [{x for w in words for x in features(w)} for words in toxic]
+    number = Counter(x for some in own for x in some)
+    own = [{x for x in some if number[x] >= least_texts} for some in own]
+    in_clean: Counter = Counter()  # of the clean texts' features only those that toxic ones have
+    for words in clean:
+        in_clean.update({x for w in words for x in features(w) if number[x] >= least_texts})
+    chosen: list[str] = []
+    while own:
+        number = Counter(x for some in own for x in some)
+        tested = {x: n for x, n in number.items() if n >= least_texts}
+        most, chance = log(doubt / max(1, len(tested))), {}
+        for x, n in tested.items():
+            if n / len(own) > 2 * in_clean[x] / len(clean) and (c := log_chance(n, n + in_clean[x], len(own), len(own) + len(clean))) < most:
+                chance[x] = c
+        if not chance:
+            break
+        chosen += sorted(chance, key=lambda x: (chance[x], x))
+        own = [some for some in own if not some & chance.keys()]
+    return chosen
+
+
+def train(sample: list[tuple[Counter | str | None, int]], grades: int = GRADES, most_words: int = 2_000, least_texts: int = 3, doubt: float = 0.05) -> Model | None:
+    """A model from (text or its counted words, toxic 0 or 1); None if either kind is missing or no feature tells them apart.
+
+    The last quarter is held out: on it the cut is chosen, and what the model does there is its ``held_out``. A cut that
+    rejects more clean than toxic held-out texts is none. ``doubt`` is how many chosen features may be expected to be
+    there by chance.
+    """
+    sample = [(x if isinstance(x, Counter) else counted(x), y) for x, y in sample]
+    part, held = [t for i, t in enumerate(sample) if i % 4 != 3], sample[3::4]
     toxic = np.array([y for _, y in part], dtype=bool)
     if not toxic.any() or toxic.all():
         return None
-    # counts of hashed features first: only what can be common enough is then counted by name
-    hashed = np.zeros((2, _BUCKETS), dtype=np.int32)
-    for (text, _), y in zip(part, toxic, strict=True):
-        hashed[int(y), np.unique([zlib.crc32(w.encode()) % _BUCKETS for w in features(words_in(text))] or [0])] += 1
-    common = (hashed[0] >= least_share * (~toxic).sum()) | (hashed[1] >= least_share * toxic.sum())
-    counts: dict[str, list[int]] = {}
-    for (text, _), y in zip(part, toxic, strict=True):
-        for w in features(words_in(text)):
-            if common[zlib.crc32(w.encode()) % _BUCKETS]:
-                counts.setdefault(w, [0, 0])[int(y)] += 1
-    n_clean, n_toxic = int((~toxic).sum()), int(toxic.sum())
-    # how many standard errors apart the two kinds' shares of texts with the feature are
-    sure = {}
-    for w, (a, b) in counts.items():
-        if a + b >= least_texts and max(b / n_toxic, a / n_clean) >= least_share:
-            p = (a + b) / len(part)
-            sure[w] = (b / n_toxic - a / n_clean) / np.sqrt(max(p * (1 - p), 1e-12) * (1 / n_toxic + 1 / n_clean))
-    chosen = sorted((w for w in sure if abs(sure[w]) > least_errors), key=lambda w: (-abs(sure[w]), w))[:most_words]
-    words = {w: i for i, w in enumerate(chosen)}
-    telling = {w for w in chosen if sure[w] > 0}
+    chosen = telling([x for x, y in part if y], [x for x, y in part if not y], least_texts, doubt)[:most_words]
+    if not chosen:
+        return None
+    words_of = {x: i for i, x in enumerate(chosen)}
     density, rows = np.zeros(len(part)), []
-    for i, (text, _) in enumerate(part):
-        spoken = words_in(text)
-        rows.append(np.array(sorted(words[w] for w in words.keys() & features(spoken)), dtype=np.int64))
-        density[i] = sum(bool(features([w]) & telling) for w in spoken) / max(1, len(spoken))
+    for i, (words, _) in enumerate(part):
+        of = {w: own for w in words if (own := [x for x in features(w) if x in words_of])}
+        values: Counter = Counter()
+        for w, own in of.items():
+            values.update({words_of[x]: words[w] for x in own})
+        rows.append({x: SCALE * n / sqrt(words.total()) for x, n in values.items()})
+        density[i] = sum(words[w] for w in of) / max(1, words.total())
     cuts = np.quantile(density[toxic], [k / grades for k in range(1, grades)])
     y = np.where(toxic, 1 + (density[:, None] > cuts).sum(axis=1), 0)
-    model = Model(words, *fit_ordinal(rows, y, len(words), grades))
-    texts, truth = [t for t, _ in held], np.array([y for _, y in held], dtype=bool)
+    model = Model(words_of, *fit_ordinal(rows, y, len(words_of), grades))
+    # what a text without any chosen feature scores is not toxic, whatever the labels say of such texts
+    model.cut = float(model.severity([None])[0][0]) + 0.1
+    truth = np.array([y for _, y in held], dtype=bool)
     if truth.any() and not truth.all():
-        severity, _ = model.severity(texts)
-        best = (-1.0, 0.5)
-        for cut in np.arange(0.1, grades, 0.05):
+        severity = model.of_words([x for x, _ in held])[0]
+        best = -1.0
+        for cut in np.arange(model.cut, grades, 0.05):
             told = severity >= cut
             hit, wrong, missed = (told & truth).sum(), (told & ~truth).sum(), (~told & truth).sum()
             f1 = 2 * hit / max(1, 2 * hit + wrong + missed)
             # of cuts that do alike, the one in the middle
-            if f1 > best[0] + 1e-9:
-                best, low, high = (f1, cut), cut, cut
-            elif abs(f1 - best[0]) <= 1e-9 and cut - high < 0.06:
+            if f1 > best + 1e-9:
+                best, low, high = f1, cut, cut
+            elif abs(f1 - best) <= 1e-9 and cut - high < 0.06:
                 high = cut
         model.cut = float((low + high) / 2)
         told = severity >= model.cut
+        if (told & ~truth).sum() > (told & truth).sum():
+            model.cut = float("inf")
         model.held_out = {"precision": float((told & truth).sum() / max(1, told.sum())), "recall": float((told & truth).sum() / truth.sum()), "texts": float(len(held))}
     return model
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, each: int = 3_000) -> list[tuple[str | None, int]]:
-    """At most ``each`` toxic and as many clean labelled texts, the first by a hash of doc_id, in that order; equal ones once."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, each: int = 3_000) -> list[tuple[Counter, int]]:
+    """At most ``each`` toxic and as many clean labelled texts, the first by a hash of doc_id, in that order; equal ones once.
+
+    Whole texts are counted by the executors; the driver gets the distinct words of each.
+    """
     known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("toxic")).dropna().withColumn("h", F.xxhash64("doc_id"))
     some = first_by_hash(known.where("toxic = 1"), ["doc_id"], each).union(first_by_hash(known.where("toxic = 0"), ["doc_id"], each))
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("h", "doc_id", F.left("text", F.lit(200_000)), "toxic").collect()  # 2 x ``each`` texts
-    once = {(r[2], r[3]): None for r in sorted(rows, key=lambda r: (r[0], r[1], r[2] or "", r[3]))}
-    return list(once)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                each_ = [counted(x) for x in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("h", "doc_id", "toxic")), pa.array([list(x) for x in each_], pa.list_(pa.string())), pa.array([list(x.values()) for x in each_], pa.list_(pa.int32()))], names=["h", "doc_id", "toxic", "words", "times"])
+
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(some), "doc_id").select("h", "doc_id", "toxic", "text")  # 2 x ``each`` labels
+    rows = texts.mapInArrow(count, "h long, doc_id long, toxic int, words array<string>, times array<int>").collect()  # 2 x ``each`` texts
+    once = {(tuple(r.words), tuple(r.times), r.toxic): None for r in sorted(rows, key=lambda r: (r.h, r.doc_id, r.words, r.times, r.toxic))}
+    return [(Counter(dict(zip(words, times, strict=True))), toxic) for words, times, toxic in once]
 
 
 def severity(docs: DataFrame, labels: DataFrame, each: int = 3_000) -> DataFrame:
     """Adds expected_severity (0 to GRADES), grade and kept to the rows of a table with doc_id and text.
 
     The model is fitted by the driver on labelled_sample() and sent to the executors, with at most 2,000 words. A null
-    or empty text scores like one without telling words. Without labels of both kinds all severities are 0 and all
-    rows kept. Repeated rows score alike. Columns of ``docs`` that have the names of the new ones are replaced.
+    or empty text scores like one without telling words. Without labels of both kinds, or if no feature tells them
+    apart, all severities are 0 and all rows kept; an empty table stays empty. Texts may have any length. Repeated rows
+    score alike; ties with the cut are rejected. Columns of ``docs`` that have the names of the new ones are replaced.
     """
     columns = [c for c in docs.columns if c not in ("expected_severity", "grade", "kept")]
     docs = docs.select(*[F.col(f"`{c}`") for c in columns])
