@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import shutil
 import tempfile
 import uuid
@@ -26,10 +27,15 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one in the warehouse where it is unset.
+
+    In local mode, where driver and executors are one process, a temporary folder stands in for an unset one.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[\d*, ]+\])?", spark.sparkContext.master):
+        return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/pagewarden-work"
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="pagewarden-")
@@ -147,25 +153,33 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         df.write.parquet(path := new_folder(spark, "edges"))
         return path
 
+    def with_least(rows: DataFrame) -> DataFrame:
+        """Rows (a, b, m) with the least b of each a. An a with many rows is a hub; there are so few that they are broadcast."""
+        least = rows.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        hubs = rows.join(F.broadcast(least.where(F.col("n") > hub).select("a", "m")), "a", "left")
+        others = hubs.where("m is null").select("a", "b").join(least.where(F.col("n") <= hub).select("a", "m"), "a")
+        return hubs.where("m is not null").select("a", "b", "m").union(others.select("a", "b", "m"))
+
     get = lambda path: spark.read.schema("a long, b long").parquet(path)
     here = put(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    # sums of mixed hashes are equal if the edge sets are; they are counted over all rows, so no pair of sets is joined
+    sign = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum(F.xxhash64("b", "a", F.lit(1)).cast("decimal(38,0)"))).first())
+    before = sign(get(here))
     for _ in range(rounds):
         now = get(here)
-        both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("m", "a").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = small.union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+        hub = max(500, before[0] // 50_000)  # so there are 100,000 hubs at most
+        both = with_least(now.union(now.select("b", "a").toDF("a", "b")))
+        large = both.where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).where("a <> b").distinct()
+        small = with_least(large)
+        # the least neighbour takes the others; each node keeps its edge to it
+        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         there = put(small)
-        after = get(there)
-        # sums of mixed hashes are equal if the edge sets are; they are counted over all rows, so no pair of sets is joined
-        sign = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum(F.xxhash64("b", "a", F.lit(1)).cast("decimal(38,0)"))).first())
-        same = sign(now) == sign(after)
+        after = sign(get(there))
         deleted(spark, here)
-        here = there
+        here, same = there, before == after
+        before = after
         if same:
-            roots = after.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-            return after.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
+            stars = get(here)
+            roots = stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+            return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
     raise RuntimeError("components did not converge")
