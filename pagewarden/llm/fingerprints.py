@@ -64,6 +64,31 @@ def packed(values: Column) -> Column:
     return F.lower(F.array_join(F.transform(values, lambda v: F.lpad(F.hex(v), 2, "0")), ""))
 
 
+def _ranges(docs: DataFrame, rows_each: int, most: int, cuts: int = 2_000) -> tuple[Column, int]:
+    """(number of the range of a row's doc_id, ascending with it, rows): ranges of about ``rows_each`` rows each.
+
+    Quantiles of the ids cut the table into at most ``cuts`` spans of like many rows; each is cut into parts of equal
+    width, so gaps between ids make no range large. Rows without doc_id are dealt over ranges below all others, by _tie.
+    """
+    n, nulls = docs.agg(F.count("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
+    parts = max(1, min(most, n // rows_each))
+    spans = min(cuts, parts)
+    at = docs.agg(F.percentile_approx("doc_id", [i / spans for i in range(spans + 1)], 100_000)).first()[0] or [0]
+    at = sorted(set(at))
+    each = max(1, parts // len(at))
+    widths = [max(1.0, (float(y) - float(x)) / each) for x, y in zip(at, [*at[1:], at[-1] + 1], strict=True)]
+    listed = lambda xs, kind: F.split(F.lit(",".join(map(str, xs))), ",").cast(f"array<{kind}>")  # noqa: E731  folded into a constant
+    starts, steps = listed(at, "bigint"), listed(widths, "double")
+    # the last start that isn't greater, by bisection; what lies below the first belongs to it
+    half = lambda i, bit: F.when(F.coalesce(F.get(starts, i + bit) <= F.col("doc_id"), F.lit(False)), i + bit).otherwise(i)
+    span = F.aggregate(F.array(*[F.lit(1 << k) for k in reversed(range(len(at).bit_length()))]), F.lit(0), half)
+    # doubles may round two ids to one place but never change their order
+    inner = F.greatest(F.lit(0), F.least(F.lit(each - 1), F.floor((F.col("doc_id").cast("double") - F.get(starts, F.col("_span")).cast("double")) / F.get(steps, F.col("_span")))))
+    some = max(1, min(most, nulls // rows_each))
+    below = F.floor((F.col("_tie").cast("double") / 2.0**64 + 0.5) * some) - some - 1
+    return span, F.when(F.col("doc_id").isNull(), below).otherwise(F.col("_span").cast("long") * each + inner).cast("long")
+
+
 def with_next(docs: DataFrame, columns: list[str], rows_each: int = 1_000, most: int = 65_536) -> DataFrame:
     """Adds next_<column>: the columns of the next document by descending doc_id; after the last comes the first.
 
@@ -73,11 +98,8 @@ def with_next(docs: DataFrame, columns: list[str], rows_each: int = 1_000, most:
     """
     order = [F.col("doc_id").desc_nulls_last(), F.col("_tie").desc()]
     tied = docs.withColumn("_tie", F.xxhash64(columns[0]))
-    low, high, n = tied.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    if low is None:
-        low = high = 0
-    width = max(1, -(-(high - low + 1) // max(1, min(most, n // rows_each))))
-    tied = tied.withColumn("_range", F.coalesce(F.floor((F.col("doc_id") - low) / width).cast("long"), F.lit(-1).cast("long")))
+    span, number = _ranges(docs.select("doc_id"), rows_each, most)
+    tied = tied.withColumn("_span", span).withColumn("_range", number).drop("_span")
     top = tied.groupBy("_range").agg(F.max(F.struct(F.coalesce("doc_id", F.lit(-(2**63)).cast("long")).alias("d"), F.col("_tie").alias("t"))).alias("top"))
     above = Window.orderBy("_range")  # a row for each range
     last = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -97,7 +119,9 @@ def op7_fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text and of its edited text, and their likeness.
 
     Edited: the last floor(n / 3) code points give way to the first as many of the next document. A null text is an
-    empty one. Repeated rows are documents of their own; an empty table gives an empty result.
+    empty one. Repeated rows are documents of their own, and follow each other; an empty table gives an empty result.
+    doc_ids may lie anywhere; rows without one come after all others, by their texts' hashes. Texts may have any length;
+    other columns aren't read.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     rows = with_fingerprint(rows, "text", "fp")
