@@ -72,26 +72,32 @@ def schedule(n_rows: dict[str, int], weights: dict[str, float], block_rows: int
     return phases, cycles
 
 
+NEW = ("phase", "block", "slot", "position", "share")
+
+
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = BLOCK_ROWS, cycle: int = CYCLE) -> DataFrame:
     """Adds phase, block, slot, position and share to rows with doc_id and source; every other column is kept.
 
-    ``weights`` are relative, by source; a source not named in them weighs next to nothing, and without weights each
-    source weighs the square root of its rows. ``position`` is the row's place in the mixture, gapless from 0. Within a
-    source, rows stand in hash order. A null source is a source of its own; repeated rows each get a place. The
-    driver holds a few numbers for each source and phase, so sources should be thousands at most.
+    Columns of ``docs`` with these names are replaced; no other name is taken. ``weights`` are relative, by source; a
+    source not named in them weighs next to nothing, and without weights each source weighs the square root of its
+    rows. ``position`` is the row's place in the mixture, gapless from 0. Within a source, rows stand in hash order. A
+    null source is a source of its own; a null doc_id is one like others; repeated rows each get a place; an empty
+    table gives an empty result. The driver holds a few numbers for each source and phase, so sources should be
+    thousands at most.
     """
     spark = docs.sparkSession
     key = F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source")))
     named = lambda s: "n" if s is None else f"s{s}"
-    rows = docs.withColumn("_source", key)
+    columns = [c for c in docs.columns if c not in NEW]
+    whole = [F.col(f"`{c}`") for c in columns if "map<" not in docs.schema[c].dataType.simpleString() and "variant" not in docs.schema[c].dataType.simpleString()]
+    # the rows' own columns stay inside one, so that none of them can clash with those made here
+    rows = docs.select(key.alias("_source"), F.xxhash64("doc_id").alias("_order"), F.xxhash64(*whole).alias("_tie"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"))
     n_rows = {r[0]: int(r[1]) for r in rows.groupBy("_source").count().collect()}
     by_key = {s: n**0.5 for s, n in n_rows.items()} if weights is None else {named(s): float(w) for s, w in weights.items()}
     phases, cycles = schedule(n_rows, by_key, block_rows, cycle)
     phase = spark.createDataFrame(phases, "phase int, _source string, first_block long, end_block long, first_slot long, share int, cycle int, missing long")
     turn = spark.createDataFrame(cycles, "phase int, _source string, _nth int, _slot int")
-    others = [F.col(f"`{c}`") for c, kind in docs.dtypes if c not in ("doc_id", "source") and kind.startswith(("string", "bigint", "int", "double", "date", "timestamp"))]
-    ordered = rows.withColumn("_order", F.xxhash64("doc_id", *others))
-    placed = ranked(ordered, ["_source"], "_order", ["doc_id"], near_equal_buckets(sum(n_rows.values())), "_rank")
+    placed = ranked(rows, ["_source"], "_order", ["_tie"], near_equal_buckets(sum(n_rows.values())), "_rank")
     placed = placed.withColumn("block", F.floor(F.col("_rank") / block_rows).cast("long"))
     spans = phase.groupBy("_source").agg(F.array_sort(F.collect_list(F.struct("first_block", "end_block", "phase", "first_slot", "share", "cycle", "missing"))).alias("_spans"))  # phases of a source, at most as many as there are sources
     placed = placed.join(F.broadcast(spans), "_source") if len(phases) <= 20_000 else placed.join(spans, "_source")
@@ -102,7 +108,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_r
     slot = F.col("_span.first_slot") + F.floor(F.col("_j") / F.col("_span.share")) * F.col("_span.cycle") + F.col("_slot")
     placed = placed.withColumn("slot", slot.cast("long")).withColumn("share", F.col("_span.share") / F.col("_span.cycle"))
     placed = placed.withColumn("position", (F.col("slot") * block_rows + F.pmod("_rank", F.lit(block_rows)) - F.col("_span.missing")).cast("long"))
-    return placed.select(*[F.col(f"`{c}`") for c in docs.columns], "phase", "block", "slot", "position", "share")
+    return placed.select(*[F.col("_row").getField(c).alias(c) for c in columns], *NEW)
 
 
 def op6_mixing(docs: DataFrame) -> DataFrame:
