@@ -90,16 +90,15 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, grain: int = 8, pa
     coarse = np.zeros(units)
     for length in np.flatnonzero(left.n):
         coarse[-(-int(length) // grain) - 1] += left.n[length]
-    if coarse.sum() > units:
-        shapes = patterns(units, parts)
-        matrix = np.zeros((units, len(shapes)))
-        for i, shape in enumerate(shapes):
-            for part in shape:
-                matrix[part - 1, i] += 1
-        repeats = np.floor(nnls(matrix, coarse)).astype(np.int64)
-        for i in np.argsort(-repeats, kind="stable"):
-            if repeats[i]:
-                _realise(shapes[i], int(repeats[i]), left, made, capacity, grain)
+    shapes = patterns(units, parts)
+    matrix = np.zeros((units, len(shapes)))
+    for i, shape in enumerate(shapes):
+        for part in shape:
+            matrix[part - 1, i] += 1
+    repeats = np.floor(nnls(matrix, coarse)).astype(np.int64)
+    for i in np.argsort(-repeats, kind="stable"):
+        if repeats[i]:
+            _realise(shapes[i], int(repeats[i]), left, made, capacity, grain)
     _best_fit(left, made, capacity)
     return sorted(made.items(), reverse=True)
 
