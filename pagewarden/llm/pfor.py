@@ -1,7 +1,7 @@
 """Token-id files of patched frame-of-reference blocks.
 
-A file holds whole documents in ascending doc_id order: a header, the documents' ids and lengths, the start of
-every block (so that a reader can jump to any id), then the blocks. A block covers BLOCK ids: its minimum, the bit
+A file holds whole documents in ascending doc_id order, those without doc_id first: a header (which tells how many have
+none), the documents' ids and lengths, the start of every block (so that a reader can jump to any id), then the blocks. A block covers BLOCK ids: its minimum, the bit
 width that covers a set percentile of the differences from it, those differences' low bits packed into 64-bit words,
 and the positions and high bits of the exceptions.
 """
@@ -15,15 +15,16 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_folder
+from .common import new_folder, stored
 from .token_ids import crc32, default_vocabulary, encoder, slices, with_end
 
-MAGIC, BLOCK, LANES = b"PFOR0001", 256, 64
-HEADER = np.dtype([("magic", "S8"), ("n_docs", "<u8"), ("n_ids", "<u8"), ("n_blocks", "<u8")])
+MAGIC, BLOCK, LANES = b"PFOR0002", 256, 64
+HEADER = np.dtype([("magic", "S8"), ("n_docs", "<u8"), ("n_null", "<u8"), ("n_ids", "<u8"), ("n_blocks", "<u8")])
 BLOCK_HEAD = np.dtype([("least", "<u4"), ("width", "<u2"), ("n_exceptions", "<u2")])
 
 
@@ -50,8 +51,11 @@ def _unpack(words: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def encode_file(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, percentile: float = 0.9) -> bytes:
-    """The bytes of a file with these documents, whose ids stand one after another; ``lengths`` sums to their count."""
+def encode_file(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, percentile: float = 0.9, n_null: int = 0) -> bytes:
+    """The bytes of a file with these documents, whose ids stand one after another; ``lengths`` sums to their count.
+
+    The first ``n_null`` documents have no doc_id, whatever number stands there.
+    """
     n_blocks = -(-len(ids) // BLOCK)
     padded = np.empty(n_blocks * BLOCK, dtype=np.uint64)
     padded[: len(ids)] = ids
@@ -69,7 +73,7 @@ def encode_file(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, perce
     sizes = BLOCK_HEAD.itemsize + packed_bytes + n_exceptions * 5
     starts = np.concatenate([[0], np.cumsum(sizes)]).astype("<u8")
     head = np.zeros(1, dtype=HEADER)
-    head["magic"], head["n_docs"], head["n_ids"], head["n_blocks"] = MAGIC, len(doc_ids), len(ids), n_blocks
+    head["magic"], head["n_docs"], head["n_null"], head["n_ids"], head["n_blocks"] = MAGIC, len(doc_ids), n_null, len(ids), n_blocks
     body = np.zeros(int(starts[-1]), dtype=np.uint8)
     heads = np.zeros(n_blocks, dtype=BLOCK_HEAD)
     heads["least"], heads["width"], heads["n_exceptions"] = least, width, n_exceptions
@@ -118,6 +122,11 @@ def _blocks(data: bytes, starts: np.ndarray, base: int) -> np.ndarray:
     return (out + heads["least"][:, None]).astype(np.uint32).ravel()
 
 
+def n_null(data: bytes) -> int:
+    """How many documents of a file, the first ones, have no doc_id."""
+    return int(np.frombuffer(data, HEADER, 1)[0]["n_null"])
+
+
 def decode_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(doc_ids, lengths, ids) of a file."""
     doc_ids, lengths, starts, n_ids, base = _sections(data)
@@ -154,76 +163,86 @@ def write_token_ids(docs: DataFrame, folder: str, vocabulary: str | None = None,
     """Encodes the texts of (doc_id, text), appends END_ID to each, writes token-id files in ascending doc_id order.
 
     Returns one row per file: file, n_docs, n_ids, n_bytes. Runs when the result is consumed. A null text is an
-    empty one; rows that share a doc_id stand together, ordered by text; rows with a null doc_id are refused by the
-    format and written as doc_id -2^63. An empty table writes no file. Other columns are not read. Files hold about
-    ``ids_per_file`` ids (one document more at most), so a reader needs that much memory.
+    empty one; rows that share a doc_id stand together, ordered by text; rows without doc_id come first. An empty table
+    writes no file. Other columns are not read. Files hold about ``ids_per_file`` ids (one document more at most), so a
+    reader needs that much memory. Rows are sorted, so a repeated task writes the same files again.
     """
     vocabulary = vocabulary or default_vocabulary()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, task = encoder(vocabulary).encode, TaskContext.get().partitionId()
-        kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        kept: list[tuple[np.ndarray, ...]] = []
         size = seq = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal kept, size, seq
-            doc_ids, lengths, ids = (np.concatenate(x) for x in zip(*kept, strict=True))
+            doc_ids, lengths, ids, valid = (np.concatenate(x) for x in zip(*kept, strict=True))
             name = f"part-{task:06d}-{seq:06d}.pfor"
-            put_file(folder, name, data := encode_file(doc_ids, lengths, ids, percentile))
+            put_file(folder, name, data := encode_file(doc_ids, lengths, ids, percentile, int((~valid).sum())))
             kept, size, seq = [], 0, seq + 1
             return pa.RecordBatch.from_pydict({"file": [name], "n_docs": [len(doc_ids)], "n_ids": [len(ids)], "n_bytes": [len(data)]})
 
         for batch in batches:
             for part in slices(batch, encoding=True):
                 ids, offsets = with_end(*encode(part.column("text")))
-                doc_ids = part.column("doc_id").to_numpy(zero_copy_only=False)
+                doc_ids, valid = pc.fill_null(part.column("doc_id"), 0).to_numpy(), np.asarray(part.column("doc_id").is_valid())
                 a = 0
                 while a < len(doc_ids):  # whole documents, up to the file's size
                     b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + ids_per_file - size)))
                     b = min(b, len(doc_ids))
-                    kept.append((doc_ids[a:b], np.diff(offsets[a : b + 1]), ids[offsets[a] : offsets[b]]))
+                    kept.append((doc_ids[a:b], np.diff(offsets[a : b + 1]), ids[offsets[a] : offsets[b]], valid[a:b]))
                     size, a = size + int(offsets[b] - offsets[a]), b
                     if size >= ids_per_file:
                         yield flush()
         if kept:
             yield flush()
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")).alias("doc_id"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return ordered.mapInArrow(write, "file string, n_docs long, n_ids long, n_bytes long")
 
 
-def read_token_ids(spark, folder: str, with_ids: bool = False) -> DataFrame:
-    """One row per document of the files in a folder: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, file; and its ids."""
+def read_token_ids(spark, folder: str, with_ids: bool = False, written: DataFrame | None = None) -> DataFrame:
+    """One row per document of the files in a folder: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, file; and its ids.
+
+    ``written`` is what write_token_ids() returned: with it only documents of the files that it names are given, and the
+    headers aren't read a second time for the counts.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, data in zip(batch.column("path"), batch.column("content"), strict=True):
+            for name, data in zip(batch.column("file"), batch.column("content"), strict=True):
                 doc_ids, lengths, ids = decode_file(data.as_buffer())
                 ends = np.cumsum(lengths)
                 cut = [ids[e - n : e] for e, n in zip(ends, lengths, strict=True)]
-                out = {"file": pa.array([path.as_py().rsplit("/", 1)[1]] * len(doc_ids), pa.string()), "doc_id": doc_ids, "local": ends - lengths, "n_tokens": lengths, "ids_crc32": pa.array([crc32(x) for x in cut], pa.int64())}
+                out = {"file": pa.array([name.as_py()] * len(doc_ids), pa.string()), "doc_id": pa.array(doc_ids, mask=np.arange(len(doc_ids)) < n_null(data.as_buffer())), "local": ends - lengths, "n_tokens": lengths, "ids_crc32": pa.array([crc32(x) for x in cut], pa.int64())}
                 if with_ids:
                     out["ids"] = pa.array([x.astype(np.int32) for x in cut], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_pydict(out)
 
     kind = "file string, doc_id long, local long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pfor").load(folder)
-    rows = files.select("path", "content").mapInArrow(read, kind)
+    files = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, data in zip(batch.column("path"), batch.column("content"), strict=True):
-                yield pa.RecordBatch.from_pydict({"file": [path.as_py().rsplit("/", 1)[1]], "n": [_sections(data.as_buffer())[3]]})
+            for name, data in zip(batch.column("file"), batch.column("content"), strict=True):
+                yield pa.RecordBatch.from_pydict({"file": [name.as_py()], "n_ids": [_sections(data.as_buffer())[3]]})
 
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file, not for each document
-    starts = files.select("path", "content").mapInArrow(totals, "file string, n long").select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return rows.join(starts, "file").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32", "file", *["ids"] * with_ids)
+    counts = files.mapInArrow(totals, "file string, n_ids long") if written is None else written.select("file", "n_ids")
+    # sums within each task's files, then over the tasks, of which there are as many as partitions were written
+    counts = counts.withColumn("task", F.regexp_extract("file", r"^part-(\d+)-", 1).cast("long"))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    tasks = counts.groupBy("task").agg(F.sum("n_ids").alias("n")).select("task", F.coalesce(F.sum("n").over(before(Window.orderBy("task"))), F.lit(0)).alias("first"))
+    seq = F.regexp_extract("file", r"-(\d+)\.pfor$", 1).cast("long")
+    starts = counts.withColumn("own", F.coalesce(F.sum("n_ids").over(before(Window.partitionBy("task").orderBy(seq))), F.lit(0))).join(tasks, "task").select("file", (F.col("first") + F.col("own")).alias("base"))
+    return files.mapInArrow(read, kind).join(starts, "file").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32", "file", *["ids"] * with_ids)
 
 
 def op4_token_ids(docs: DataFrame) -> DataFrame:
     """Writes the token-id files of a table of documents and reads them back, one row per document."""
     spark, folder = docs.sparkSession, new_folder(docs.sparkSession, "ids")
-    if not write_token_ids(docs, folder).agg(F.sum("n_docs")).first()[0]:
+    written = stored(write_token_ids(docs, folder), "written")
+    if written.isEmpty():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long, file string")
-    return read_token_ids(spark, folder)
+    return read_token_ids(spark, folder, written=written)
