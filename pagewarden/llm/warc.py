@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import first_by_hash, new_folder
+from .common import first_by_hash, kept_by_size, new_folder, stored
 from .pfor import put_file
 
 #: The skippable frame's magic number and the revisit profile.
@@ -108,7 +108,9 @@ def write_warc(pages: DataFrame, folder: str, sample: int = 400, sample_bytes: i
         if frames:
             yield flush()
 
-    return rows.mapInArrow(write, "file string, n_records long, n_bytes long")
+    # in order, so that a repeated task writes the same files again
+    ordered = rows.sortWithinPartitions("page_id", "payload_digest", "url")
+    return ordered.mapInArrow(write, "file string, n_records long, n_bytes long")
 
 
 def records(data: bytes | memoryview) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -130,16 +132,16 @@ def records(data: bytes | memoryview) -> Iterator[tuple[dict[str, str], bytes]]:
             yield headers, block
 
 
-def read_warc(spark: SparkSession, folder: str, with_payload: bool = False) -> DataFrame:
+def read_warc(spark: SparkSession, folder: str, with_payload: bool = False, written: DataFrame | None = None) -> DataFrame:
     """One row per record of the archives in a folder: page_id, url, payload_bytes, payload_digest, record_type, refers_to, file.
 
-    Length and digest of a response are computed from the payload read; those of a revisit are in its headers.
+    ``written`` is what write_warc() returned: with it only records of the files that it names are given. Length and digest of a response are computed from the payload read; those of a revisit are in its headers.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = lambda x: int(x) if x else None
         for batch in batches:
-            for path, data in zip(batch.column("path"), batch.column("content"), strict=True):
+            for name, data in zip(batch.column("file"), batch.column("content"), strict=True):
                 rows = []
                 for headers, block in records(memoryview(data.as_buffer())):
                     http, _, payload = block.partition(b"\r\n\r\n")
@@ -150,12 +152,15 @@ def read_warc(spark: SparkSession, folder: str, with_payload: bool = False) -> D
                             raise ValueError("a payload differs from its digest")
                     at = number(headers["WARC-Record-ID"][1 + len(_ID) : -1])
                     to = number(headers["WARC-Refers-To"][1 + len(_ID) : -1]) if kind == "revisit" else None
-                    rows.append((at, headers.get("WARC-Target-URI"), length, digest, kind, to, path.as_py().rsplit("/", 1)[1], payload.decode() if with_payload else None))
+                    rows.append((at, headers.get("WARC-Target-URI"), length, digest, kind, to, name.as_py(), payload.decode() if with_payload else None))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _KINDS, strict=True)], names=_NAMES)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
     kind = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, payload string"
-    out = files.select("path", "content").mapInArrow(read, kind)
+    files = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+    out = files.mapInArrow(read, kind)
+    if written is not None:
+        out = kept_by_size(out, written.select("file"), "file", "left_semi")
     return out if with_payload else out.drop("payload")
 
 
@@ -167,9 +172,10 @@ def op5_warc(pages: DataFrame) -> DataFrame:
     """Writes the archives of a table of pages and reads them back, one row per page."""
     spark, folder = pages.sparkSession, new_folder(pages.sparkSession, "warc")
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    if not write_warc(pages.select(F.col("page_id").cast("long"), "url", "html"), folder).agg(F.sum("n_records")).first()[0]:
+    written = stored(write_warc(pages.select(F.col("page_id").cast("long"), "url", "html"), folder), "written")
+    if written.isEmpty():
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    return read_warc(spark, folder).select(*columns)
+    return read_warc(spark, folder, written=written).select(*columns)
 
 
 ORACLE = """
