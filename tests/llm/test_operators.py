@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 from collections import Counter
@@ -7,7 +8,7 @@ import corpus_pipeline
 import numpy as np
 import pyarrow as pa
 import pytest
-from pagewarden.llm import fingerprints, jaccard_join, mixing, packing, passages, pfor, quality, sharding, toxicity, warc
+from pagewarden.llm import common, fingerprints, jaccard_join, mixing, packing, passages, pfor, quality, sharding, toxicity, warc
 from pagewarden.llm.token_ids import Encoder, crc32, default_vocabulary
 from pyspark.sql import functions as F
 
@@ -341,3 +342,70 @@ def test_toxicity_of_inflected_words_and_long_texts(spark):
     kept = {r.doc_id: r.kept for r in out.collect()}
     assert len(out.columns) == 5 and len(kept) == len(rows)
     assert not kept[1002] and all(kept[i] for i in (1000, 1001, 1003, 1004)) and sum(kept[i] != (i % 5 > 0) for i in range(600)) <= 2
+
+
+def edited(text, following):
+    cut = len(text) // 3
+    return text[: len(text) - cut] + following[:cut]
+
+
+def brute_fingerprints(spark, rows):
+    """Holds op7 against Python over (doc_id, text) with distinct texts; ids may be null or far apart."""
+    texts = {t or "": i for i, t in rows}
+    got = fingerprints.op7_fingerprints(spark.createDataFrame(rows, DOCS)).collect()
+    tie = {r.text: r.h for r in spark.createDataFrame([(t,) for t in texts], "text string").select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(texts, key=lambda t: (texts[t] is not None, texts[t] or 0, tie[t]), reverse=True)
+    want = Counter()
+    for n, t in enumerate(order):
+        want[texts[t], len(t), hashlib.sha256(edited(t, order[(n + 1) % len(order)]).encode()).hexdigest()] += 1
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == want
+
+
+def test_fingerprints_of_far_and_missing_ids(spark, monkeypatch):
+    near = fingerprints.with_next
+    monkeypatch.setattr(fingerprints, "with_next", lambda d, c: near(d, c, rows_each=2, most=64))
+    rng = random.Random(3)
+    ids = [-(2**62), 2**62, 2**63 - 1, -(2**63), 0, *rng.sample(range(10**6), 30), *range(5_000_000, 5_000_020)]
+    brute_fingerprints(spark, [(i, f"{prose(n, 30)} {n}") for n, i in enumerate(ids)])
+    brute_fingerprints(spark, [(None, f"{prose(n, 30)} é{n}") for n in range(20)])
+    brute_fingerprints(spark, [(i % 7 if i % 3 else None, f"{prose(i, 20)} {i}") for i in range(40)])
+
+
+def test_mixing_keeps_columns_of_any_name(spark):
+    rows = spark.createDataFrame([(i if i % 5 else None, f"s{i % 3}", i * 10, i, "x", i, i) for i in range(60)], "doc_id long, source string, position long, _rank int, _source string, _bucket int, `a.b` int")
+    out = mixing.mix(rows, block_rows=4)
+    assert out.columns == ["doc_id", "source", "_rank", "_source", "_bucket", "a.b", *mixing.NEW]
+    got = out.collect()
+    assert sorted(r.position for r in got) == list(range(60)) and sorted(r["a.b"] for r in got) == list(range(60)) == sorted(r["_bucket"] for r in got)
+
+
+def test_token_files_with_missing_and_repeated_ids(spark):
+    rows = [(None, "b"), (-(2**63), "c d"), (None, None), (3, "x"), (3, "x"), (3, "a"), (2**63 - 1, prose(1, 20_000))]
+    got = pfor.op4_token_ids(spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, start int")).collect()
+    e, at, want = Encoder(default_vocabulary()), 0, []
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+        ids = [*e._plain([t or ""])[0], 0]
+        want.append((i, at, len(ids), crc32(np.array(ids))))
+        at += len(ids)
+    assert Counter((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got) == Counter(want)
+
+
+def test_warc_ignores_files_of_other_writes(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"http://a/{i}", prose(i, 50)) for i in range(20)], "page_id long, url string, html string")
+    warc.write_warc(rows, f"file://{tmp_path}").collect()
+    (tmp_path / "part-999999-000000.warc.zst").write_bytes(next(iter(tmp_path.glob("*.zst"))).read_bytes())
+    written = spark.createDataFrame([(f.name,) for f in tmp_path.glob("*.zst") if "999999" not in f.name], "file string")
+    assert warc.read_warc(spark, f"file://{tmp_path}", written=written).count() == 20
+
+
+def test_components_with_hubs(spark):
+    rng = random.Random(2)
+    edges = [(7, i) for i in range(100, 1800)] + [(rng.randrange(100, 3000), rng.randrange(100, 3000)) for _ in range(500)] + [(5000 + i, 5001 + i) for i in range(60)]
+    least = {}
+    find = lambda x: x if least.setdefault(x, x) == x else find(least[x])
+    for a, b in edges:
+        a, b = find(a), find(b)
+        least[max(a, b)] = min(a, b)
+    out = common.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    touched = {x for a, b in edges if a != b for x in (a, b)}
+    assert {r.node: r.component for r in out} == {x: find(x) for x in touched} and len(out) == len(touched)
