@@ -15,6 +15,7 @@ quantiles.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -22,6 +23,7 @@ from math import exp, lgamma, log, sqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
@@ -54,25 +56,24 @@ class Model:
     def __post_init__(self):
         self.starts = {w[: STEMS[0]] for w in self.words}
 
-    def scores(self, texts: list) -> np.ndarray:
+    def scores(self, texts: list[list[str]]) -> np.ndarray:
         """The weighted sums of features of texts given as their words."""
         out = np.zeros(len(texts))
         for i, words in enumerate(texts):
             # few words begin like a feature
             near = Counter(w for w in words if w[: STEMS[0]] in self.starts)
             for w, n in near.items():
-                n = words[w] if isinstance(words, Counter) else n
                 out[i] += n * sum(self.weights[self.words[x]] for x in features(w) if x in self.words)
-            out[i] *= SCALE / sqrt(words.total() if isinstance(words, Counter) else len(words)) if near else 0
+            out[i] *= SCALE / sqrt(len(words)) if near else 0
         return out
 
     def severity(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(expected severity, most probable grade) of each text."""
-        return self.of_words([words_in(t) for t in texts])
+        return self.of_scores(self.scores([words_in(t) for t in texts]))
 
-    def of_words(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
-        above = _sigmoid(self.scores(texts)[:, None] - self.thresholds)
-        each = -np.diff(np.hstack([np.ones((len(texts), 1)), above, np.zeros((len(texts), 1))]))
+    def of_scores(self, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        above = _sigmoid(scores[:, None] - self.thresholds)
+        each = -np.diff(np.hstack([np.ones((len(scores), 1)), above, np.zeros((len(scores), 1))]))
         return above.sum(axis=1), each.argmax(axis=1)
 
 
@@ -124,73 +125,127 @@ def log_chance(toxic_with: int, texts_with: int, toxic: int, texts: int) -> floa
     return max(terms) + log(sum(exp(t - max(terms)) for t in terms)) if terms else 0.0
 
 
+def _feature_hash(x: str) -> int:
+    raw = x.encode()
+    return zlib.crc32(raw) << 31 | zlib.adler32(raw) >> 1
+
+
 def counted(text: str | None) -> Counter:
     """How often each word stands in a text."""
     return Counter(words_in(text))
 
 
-def telling(toxic: list[Counter], clean: list[Counter], least_texts: int, doubt: float) -> list[str]:
+class Sample:
+    """Labelled texts as counts of numbered words, in a few arrays however many words they have."""
+
+    def __init__(self, vocabulary: pa.Array, bounds: np.ndarray, words: np.ndarray, times: np.ndarray, toxic: np.ndarray):
+        self.vocabulary, self.bounds, self.words, self.times, self.toxic = vocabulary, bounds, words, times, toxic
+        text = np.repeat(np.arange(len(toxic)), np.diff(bounds))
+        self.total = np.maximum(1, np.bincount(text, times, minlength=len(toxic)))
+        # 64-bit hashes stand for features: names of all would take far more room
+        hashes = np.zeros((len(vocabulary), 1 + len(STEMS)), dtype=np.int64)
+        for i, w in enumerate(vocabulary):
+            own = [_feature_hash(x) for x in features(w.as_py())]
+            hashes[i, : len(own)] = own
+        known, numbers = np.unique(hashes, return_inverse=True)
+        self.feature, self.n_features = numbers.reshape(hashes.shape).astype(np.int32), len(known)
+        self.none = int(np.searchsorted(known, 0)) if len(known) and (hashes == 0).any() else -1  # stands for a stem that a word is too short for
+
+    @classmethod
+    def of(cls, texts: list[tuple[Counter | str | None, int]]) -> Sample:
+        each = [x if isinstance(x, Counter) else counted(x) for x, _ in texts]
+        coded = pa.array([w for x in each for w in x], pa.string()).dictionary_encode()
+        return cls(coded.dictionary, np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64), coded.indices.to_numpy(), np.array([n for x in each for n in x.values()], dtype=np.int64), np.array([y for _, y in texts], dtype=bool))
+
+    def of_text(self, i: int) -> slice:
+        return slice(int(self.bounds[i]), int(self.bounds[i + 1]))
+
+    def texts_with(self, texts: np.ndarray) -> np.ndarray:
+        """In how many of these texts each feature stands."""
+        out = np.zeros(self.n_features, dtype=np.int32)
+        for i in texts:
+            out[np.unique(self.feature[self.words[self.of_text(i)]])] += 1
+        if self.none >= 0:
+            out[self.none] = 0
+        return out
+
+    def has(self, texts: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+        """Whether each of these texts has a chosen feature."""
+        told = np.zeros(self.n_features, dtype=bool)
+        told[chosen] = True
+        word = told[self.feature].any(axis=1)
+        return np.array([word[self.words[self.of_text(i)]].any() for i in texts], dtype=bool)
+
+    def names(self, chosen: np.ndarray) -> list[str]:
+        order = np.argsort(chosen)
+        out = [""] * len(chosen)
+        for w, k in zip(*np.nonzero(np.isin(self.feature, chosen)), strict=True):
+            i = order[np.searchsorted(chosen, self.feature[w, k], sorter=order)]
+            out[i] = out[i] or features(self.vocabulary[int(w)].as_py())[k]
+        return out
+
+
+def telling(sample: Sample, toxic: np.ndarray, clean: np.ndarray, least_texts: int, doubt: float) -> np.ndarray:
     """Features of more toxic texts than by chance, the surest first; then those of the toxic texts that have none, and so on.
 
     The fewer toxic texts are left, the less likely it is that a feature is in several of them by chance.
     """
-    own = [{x for w in words for x in features(w)} for words in toxic]
-    number = Counter(x for some in own for x in some)
-    own = [{x for x in some if number[x] >= least_texts} for some in own]
-    in_clean: Counter = Counter()  # of the clean texts' features only those that toxic ones have
-    for words in clean:
-        in_clean.update({x for w in words for x in features(w) if number[x] >= least_texts})
-    chosen: list[str] = []
-    while own:
-        number = Counter(x for some in own for x in some)
-        tested = {x: n for x, n in number.items() if n >= least_texts}
-        most, chance = log(doubt / max(1, len(tested))), {}
-        for x, n in tested.items():
-            if n / len(own) > 2 * in_clean[x] / len(clean) and (c := log_chance(n, n + in_clean[x], len(own), len(own) + len(clean))) < most:
-                chance[x] = c
-        if not chance:
+    in_clean, chosen = sample.texts_with(clean), np.zeros(0, dtype=np.int64)
+    while len(toxic):
+        number = sample.texts_with(toxic)
+        tested = np.flatnonzero(number >= least_texts)
+        most = log(doubt / max(1, len(tested)))
+        some = tested[number[tested] / len(toxic) > 2 * in_clean[tested] / len(clean)]
+        chance = np.array([log_chance(int(number[x]), int(number[x] + in_clean[x]), len(toxic), len(toxic) + len(clean)) for x in some])
+        found = some[chance < most] if len(some) else some
+        if not len(found):
             break
-        chosen += sorted(chance, key=lambda x: (chance[x], x))
-        own = [some for some in own if not some & chance.keys()]
+        chosen = np.concatenate([chosen, found[np.argsort(chance[chance < most], kind="stable")]])
+        toxic = toxic[~sample.has(toxic, found)]
     return chosen
 
 
-def train(sample: list[tuple[Counter | str | None, int]], grades: int = GRADES, most_words: int = 2_000, least_texts: int = 3, doubt: float = 0.05) -> Model | None:
-    """A model from (text or its counted words, toxic 0 or 1); None if either kind is missing or no feature tells them apart.
+def train(sample: Sample | list[tuple[Counter | str | None, int]], grades: int = GRADES, most_words: int = 2_000, least_texts: int = 3, doubt: float = 0.05) -> Model | None:
+    """A model from labelled texts (or their counted words); None if either kind is missing or no feature tells them apart.
 
     The last quarter is held out: on it the cut is chosen, and what the model does there is its ``held_out``. A cut that
     rejects more clean than toxic held-out texts is none. ``doubt`` is how many chosen features may be expected to be
     there by chance.
     """
-    sample = [(x if isinstance(x, Counter) else counted(x), y) for x, y in sample]
-    part, held = [t for i, t in enumerate(sample) if i % 4 != 3], sample[3::4]
-    toxic = np.array([y for _, y in part], dtype=bool)
+    sample = sample if isinstance(sample, Sample) else Sample.of(sample)
+    every = np.arange(len(sample.toxic))
+    part, held = every[every % 4 != 3], every[every % 4 == 3]
+    toxic = sample.toxic[part]
     if not toxic.any() or toxic.all():
         return None
-    chosen = telling([x for x, y in part if y], [x for x, y in part if not y], least_texts, doubt)[:most_words]
-    if not chosen:
+    chosen = telling(sample, part[toxic], part[~toxic], least_texts, doubt)[:most_words]
+    if not len(chosen):
         return None
-    words_of = {x: i for i, x in enumerate(chosen)}
-    density, rows = np.zeros(len(part)), []
-    for i, (words, _) in enumerate(part):
-        of = {w: own for w in words if (own := [x for x in features(w) if x in words_of])}
-        values: Counter = Counter()
-        for w, own in of.items():
-            values.update({words_of[x]: words[w] for x in own})
-        rows.append({x: SCALE * n / sqrt(words.total()) for x, n in values.items()})
-        density[i] = sum(words[w] for w in of) / max(1, words.total())
+    place = np.full(sample.n_features, -1, dtype=np.int32)
+    place[chosen] = np.arange(len(chosen))
+    told = (place[sample.feature] >= 0).any(axis=1)
+
+    def values(i: int) -> dict[int, float]:
+        own, out = sample.of_text(i), Counter()
+        for w, n in zip(sample.words[own], sample.times[own], strict=True):
+            if told[w]:
+                out.update({int(x): int(n) for x in place[sample.feature[w]] if x >= 0})
+        return {x: SCALE * n / sqrt(sample.total[i]) for x, n in out.items()}
+
+    rows = {i: values(i) for i in every}
+    density = np.array([sample.times[own][told[sample.words[own]]].sum() / sample.total[i] for i in part for own in [sample.of_text(i)]])
     cuts = np.quantile(density[toxic], [k / grades for k in range(1, grades)])
     y = np.where(toxic, 1 + (density[:, None] > cuts).sum(axis=1), 0)
-    model = Model(words_of, *fit_ordinal(rows, y, len(words_of), grades))
+    model = Model({w: i for i, w in enumerate(sample.names(chosen))}, *fit_ordinal([rows[i] for i in part], y, len(chosen), grades))
     # what a text without any chosen feature scores is not toxic, whatever the labels say of such texts
-    model.cut = float(model.severity([None])[0][0]) + 0.1
-    truth = np.array([y for _, y in held], dtype=bool)
+    model.cut = float(model.of_scores(np.zeros(1))[0][0]) + 0.1
+    truth = sample.toxic[held]
     if truth.any() and not truth.all():
-        severity = model.of_words([x for x, _ in held])[0]
+        severity = model.of_scores(np.array([sum(model.weights[x] * v for x, v in rows[i].items()) for i in held]))[0]
         best = -1.0
         for cut in np.arange(model.cut, grades, 0.05):
-            told = severity >= cut
-            hit, wrong, missed = (told & truth).sum(), (told & ~truth).sum(), (~told & truth).sum()
+            above = severity >= cut
+            hit, wrong, missed = (above & truth).sum(), (above & ~truth).sum(), (~above & truth).sum()
             f1 = 2 * hit / max(1, 2 * hit + wrong + missed)
             # of cuts that do alike, the one in the middle
             if f1 > best + 1e-9:
@@ -198,14 +253,14 @@ def train(sample: list[tuple[Counter | str | None, int]], grades: int = GRADES,
             elif abs(f1 - best) <= 1e-9 and cut - high < 0.06:
                 high = cut
         model.cut = float((low + high) / 2)
-        told = severity >= model.cut
-        if (told & ~truth).sum() > (told & truth).sum():
+        above = severity >= model.cut
+        if (above & ~truth).sum() > (above & truth).sum():
             model.cut = float("inf")
-        model.held_out = {"precision": float((told & truth).sum() / max(1, told.sum())), "recall": float((told & truth).sum() / truth.sum()), "texts": float(len(held))}
+        model.held_out = {"precision": float((above & truth).sum() / max(1, above.sum())), "recall": float((above & truth).sum() / truth.sum()), "texts": float(len(held))}
     return model
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, each: int = 3_000) -> list[tuple[Counter, int]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, each: int = 3_000) -> Sample:
     """At most ``each`` toxic and as many clean labelled texts, the first by a hash of doc_id, in that order; equal ones once.
 
     Whole texts are counted by the executors; the driver gets the distinct words of each.
@@ -216,13 +271,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, each: int = 3_000) -> li
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                each_ = [counted(x) for x in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("h", "doc_id", "toxic")), pa.array([list(x) for x in each_], pa.list_(pa.string())), pa.array([list(x.values()) for x in each_], pa.list_(pa.int32()))], names=["h", "doc_id", "toxic", "words", "times"])
+                each_ = [sorted(counted(x).items()) for x in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("h", "doc_id", "toxic")), pa.array([[w for w, _ in x] for x in each_], pa.list_(pa.string())), pa.array([[n for _, n in x] for x in each_], pa.list_(pa.int32()))], names=["h", "doc_id", "toxic", "words", "times"])
 
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(some), "doc_id").select("h", "doc_id", "toxic", "text")  # 2 x ``each`` labels
-    rows = texts.mapInArrow(count, "h long, doc_id long, toxic int, words array<string>, times array<int>").collect()  # 2 x ``each`` texts
-    once = {(tuple(r.words), tuple(r.times), r.toxic): None for r in sorted(rows, key=lambda r: (r.h, r.doc_id, r.words, r.times, r.toxic))}
-    return [(Counter(dict(zip(words, times, strict=True))), toxic) for words, times, toxic in once]
+    counted_ = texts.mapInArrow(count, "h long, doc_id long, toxic int, words array<string>, times array<int>")
+    once = counted_.withColumn("key", F.xxhash64("words", "times")).groupBy("key", "toxic").agg(F.min(F.struct("h", "doc_id", "words", "times")).alias("x")).select("x.*", "toxic")
+    table = once.toArrow().sort_by([("h", "ascending"), ("doc_id", "ascending"), ("toxic", "ascending")])  # 2 x ``each`` texts
+    words = table.column("words").combine_chunks()
+    coded = pc.list_flatten(words).dictionary_encode()
+    bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    return Sample(coded.dictionary, bounds, coded.indices.to_numpy(), pc.list_flatten(table.column("times").combine_chunks()).to_numpy().astype(np.int64), table.column("toxic").to_numpy() == 1)
 
 
 def severity(docs: DataFrame, labels: DataFrame, each: int = 3_000) -> DataFrame:
