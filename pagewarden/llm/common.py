@@ -153,9 +153,11 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         df.write.parquet(path := new_folder(spark, "edges"))
         return path
 
-    def with_least(rows: DataFrame) -> DataFrame:
+    def with_least(rows: DataFrame, hub: int) -> DataFrame:
         """Rows (a, b, m) with the least b of each a. An a with many rows is a hub; there are so few that they are broadcast."""
         least = rows.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        if (least.agg(F.max("n")).first()[0] or 0) <= hub:
+            return rows.join(least.select("a", "m"), "a")
         hubs = rows.join(F.broadcast(least.where(F.col("n") > hub).select("a", "m")), "a", "left")
         others = hubs.where("m is null").select("a", "b").join(least.where(F.col("n") <= hub).select("a", "m"), "a")
         return hubs.where("m is not null").select("a", "b", "m").union(others.select("a", "b", "m"))
@@ -167,15 +169,16 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     before = sign(get(here))
     for _ in range(rounds):
         now = get(here)
-        hub = max(500, before[0] // 50_000)  # so there are 100,000 hubs at most
-        both = with_least(now.union(now.select("b", "a").toDF("a", "b")))
+        hub = max(2_000, before[0] // 50_000)  # so there are 100,000 hubs at most
+        both = with_least(now.union(now.select("b", "a").toDF("a", "b")), hub)
         large = both.where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).where("a <> b").distinct()
-        small = with_least(large)
+        large = get(middle := put(large))
+        small = with_least(large, hub)
         # the least neighbour takes the others; each node keeps its edge to it
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         there = put(small)
         after = sign(get(there))
-        deleted(spark, here)
+        deleted(spark, here, middle)
         here, same = there, before == after
         before = after
         if same:
