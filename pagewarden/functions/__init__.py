@@ -68,7 +68,7 @@ def has_query(href: Column) -> Column:
 
 def origin(url: Column) -> Column:
     """scheme://host[:port] in lower case without a default port; null for what isn't an absolute address."""
-    found = F.lower(F.regexp_extract(url, r"^\s*([A-Za-z][A-Za-z0-9+.-]*://[^/?#\\]+)", 1))
+    found = F.lower(F.regexp_replace(F.regexp_extract(url, r"^\s*([A-Za-z][A-Za-z0-9+.-]*://[^/?#\\]+)", 1), "//[^@]*@", "//"))
     return F.nullif(F.regexp_replace(F.regexp_replace(found, r"^(http://.*):80$", "$1"), r"^(https://.*):443$", "$1"), F.lit(""))
 
 

@@ -1,54 +1,113 @@
-"""Parses each page once into its elements.
+"""Parses a page into its elements, and the JSON-LD in it.
 
-A row keeps its elements in one array, in document order, so the rules of a page are array expressions: neither a
-shuffle nor a second parse. The tree builder is a subset of the HTML standard: void elements, raw text, implied html,
-head and body, implied ends of p, li, dt, dd, option, tr, td and th; unmatched end tags are ignored and noted.
+A tokenizer of one pattern and a tree builder for a subset of the HTML standard: void elements, raw text (noscript
+too, as with scripts on), text with character references only (title, textarea), implied html, head and body, implied
+ends of p, li, dt, dd, option, tr, td, th, a and button; unmatched end tags are ignored and noted. Any text is a page:
+what is no tag is text, what is cut short is left out. Every element costs the same, however deep it lies.
 """
 
 from __future__ import annotations
 
+import html as _html
 import json
+import re
+from collections import Counter
 from collections.abc import Iterator
-from html.parser import HTMLParser
-
-import pyarrow as pa
-from pyspark.sql import DataFrame
 
 #: Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEAD = frozenset("title meta link script style base noscript template".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "a": {"a"}, "button": {"button"}}
 FENCES = frozenset("table ul ol dl select td th body html button object".split())
-#: Elements of which some rule reads the text.
-WITH_TEXT = frozenset("a button title h1 h2 h3 h4 h5 h6 script html".split())
-
-ELEMENT = pa.struct([("i", pa.int32()), ("end", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("anc", pa.list_(pa.string()))])
-LD_FINDING = pa.struct([("level", pa.string()), ("rule_id", pa.string()), ("selector", pa.string()), ("message", pa.string())])
-ENTITY = pa.struct([("id", pa.string()), ("type", pa.string()), ("name", pa.string()), ("url", pa.string())])
-ADDED = "els array<struct<i:int,end:int,tag:string,attrs:map<string,string>,text:string,anc:array<string>>>, parse_errors array<string>, ld_findings array<struct<level:string,rule_id:string,selector:string,message:string>>, ld_types array<string>, ld_author boolean, entities array<struct<id:string,type:string,name:string,url:string>>"
+#: Elements that end without an end tag where another one ends.
+IMPLIED = frozenset("p li dt dd option optgroup tr td th tbody thead tfoot".split())
+RAW = frozenset("script style xmp iframe noembed noframes noscript".split())
+TEXT_ONLY = frozenset("title textarea".split())
+SECTIONS = ("article", "aside", "main", "nav", "section")
+
+_VALUE = r"""(?:"([^"]*+)"|'([^']*+)'|((?!["'])[^\s>]*+))"""
+_ATTRIBUTE = re.compile(rf"([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+{_VALUE})?+")
+_INSIDE = _ATTRIBUTE.pattern.replace("([", "(?:[").replace("((", "(?:(")
+#: A comment, a tag (slash, name, attributes, its end unless the page ends before) or what else is no text.
+_TOKEN = re.compile(rf"<(?:!--(?:>|->|.*?(?:--!?>|\Z))|(/?)([A-Za-z][^\s/>]*+)((?:[\s/=]++|{_INSIDE})*+)(>|\Z)|[!?/][^>]*+(?:>|\Z))", re.S)
+_NAME = r"&(?:#\d+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*+)"
+_REFERENCE = re.compile(rf"{_NAME};|{_NAME}(?![;=A-Za-z0-9])")
+
+
+class Node:
+    """An element: its number, the number after its last descendant, tag, attributes and what is around it."""
+
+    __slots__ = ("attrs", "end", "first", "head", "i", "label", "last", "section", "tag")
+
+    def __init__(self, i: int, tag: str, attrs: dict[str, str]):
+        self.i, self.tag, self.attrs = i, tag, attrs
+        self.end = i + 1
+
+    def get(self, name: str) -> str | None:
+        return self.attrs.get(name)
+
+    def low(self, name: str) -> str:
+        """An attribute in lower case, empty if there is none."""
+        return (self.attrs.get(name) or "").lower()
+
+
+def attributes(raw: str) -> tuple[dict[str, str], list[str]]:
+    """(attributes, names given again)."""
+    own: dict[str, str] = {}
+    again = []
+    for name, double, single, plain in _ATTRIBUTE.findall(raw):
+        name, value = name.lower(), double or single or plain
+        if name in own:
+            again.append(name)
+        else:
+            own[name] = _REFERENCE.sub(lambda m: _html.unescape(m[0]), value) if "&" in value else value
+    return own, again
 
 
-class Tree(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.nodes: list[dict] = []
-        self.open: list[int] = []
+class Tree:
+    def __init__(self, page: str):
+        self.nodes: list[Node] = []
+        self.open: list[Node] = []
+        self.depth: Counter = Counter()  # open elements of each tag
+        self.chunks: list[str] = []
         self.errors: list[str] = []
         self.body = self.headed = False
-        self._push("html", [])
+        self._push("html", {})
+        at = 0
+        while at < len(page):
+            found = _TOKEN.search(page, at)
+            self._text(page[at : found.start()] if found else page[at:])
+            if not found:
+                break
+            at = found.end()
+            if found[2] and found[4]:
+                tag = found[2].lower()
+                if found[1]:
+                    self._end(tag)
+                else:
+                    self._start(tag, found[3])
+                    if tag in RAW or tag in TEXT_ONLY:
+                        at = self._raw(page, at, tag)
+        if not self.body:
+            self._place("body")
+            self._push("body", {})
+        while self.open:
+            self._pop()
 
-    def _push(self, tag: str, attrs: list) -> None:
-        own: dict[str, str] = {}
-        for k, v in attrs:
-            if k in own:
-                self.errors.append(f"Duplicate attribute '{k}'")
-            own.setdefault(k, v or "")
-        self.nodes.append({"i": len(self.nodes), "tag": tag, "attrs": own, "text": [], "anc": [self.nodes[x]["tag"] for x in self.open]})
-        self.open.append(len(self.nodes) - 1)
+    def _push(self, tag: str, attrs: dict[str, str]) -> None:
+        node = Node(len(self.nodes), tag, attrs)
+        node.head, node.label = self.depth["head"] > 0, self.depth["label"] > 0
+        node.section = any(self.depth[x] for x in SECTIONS)
+        node.first = node.last = len(self.chunks)
+        self.nodes.append(node)
+        self.open.append(node)
+        self.depth[tag] += 1
 
     def _pop(self) -> None:
-        self.nodes[self.open.pop()]["end"] = len(self.nodes)
+        node = self.open.pop()
+        node.end, node.last = len(self.nodes), len(self.chunks)
+        self.depth[node.tag] -= 1
 
     def _place(self, tag: str) -> None:
         """Opens head or body where the document leaves them out."""
@@ -57,21 +116,23 @@ class Tree(HTMLParser):
         if tag in HEAD:
             if not self.headed:
                 self.headed = True
-                self._push("head", [])
+                self._push("head", {})
         else:
             while len(self.open) > 1:
                 self._pop()
             if not self.headed:
                 self.headed = True
-                self._push("head", [])
+                self._push("head", {})
                 self._pop()
             self.body = True
             if tag != "body":
-                self._push("body", [])
+                self._push("body", {})
 
-    def handle_starttag(self, tag: str, attrs: list) -> None:
+    def _start(self, tag: str, raw: str) -> None:
+        attrs, again = attributes(raw)
+        self.errors += [f"Duplicate attribute '{x}'" for x in again]
         if tag in ("html", "head", "body"):
-            at = 0 if tag == "html" else None
+            at = self.nodes[0] if tag == "html" else None
             if tag == "head" and not self.headed and not self.body:
                 self.headed = True
                 self._push("head", attrs)
@@ -81,12 +142,12 @@ class Tree(HTMLParser):
                 self._push("body", attrs)
                 return
             if tag == "body":
-                at = next((n["i"] for n in self.nodes if n["tag"] == "body"), None)
+                at = next((n for n in self.nodes if n.tag == "body"), None)
             if at is not None:  # a second tag adds what attributes are new
-                for k, v in attrs:
-                    self.nodes[at]["attrs"].setdefault(k, v or "")
+                for k, v in attrs.items():
+                    at.attrs.setdefault(k, v)
             return
-        if not self.body and len(self.open) == 1 or (not self.body and tag not in HEAD and self.nodes[self.open[-1]]["tag"] == "head"):
+        if not self.body and (len(self.open) == 1 or (tag not in HEAD and self.open[-1].tag == "head")):
             self._place(tag)
         self._imply(tag)
         self._push(tag, attrs)
@@ -94,58 +155,61 @@ class Tree(HTMLParser):
             self._pop()
 
     def _imply(self, tag: str) -> None:
-        closing = CLOSED_BY.get(tag, {"p"} if tag in CLOSES_P else set())
+        closing = CLOSED_BY.get(tag, {"p"} if tag in CLOSES_P else ())
+        if not any(self.depth[x] for x in closing):
+            return
         for depth in range(len(self.open) - 1, 0, -1):
-            name = self.nodes[self.open[depth]]["tag"]
+            name = self.open[depth].tag
             if name in closing:
                 while len(self.open) > depth:
                     self._pop()
-                if tag in ("tr",):
+                if tag == "tr":
                     self._imply(tag)
                 return
             if name in FENCES and not (tag == "tr" and name in ("td", "th")):
                 return
 
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)
-
-    def handle_endtag(self, tag: str) -> None:
+    def _end(self, tag: str) -> None:
         if tag in ("html", "body"):
             return
-        for depth in range(len(self.open) - 1, 0, -1):
-            if self.nodes[self.open[depth]]["tag"] == tag:
-                if depth < len(self.open) - 1:
-                    self.errors.append(f"End tag '{tag}' seen, but there were open elements")
-                while len(self.open) > depth:
-                    self._pop()
-                return
-        if tag not in VOID:
-            self.errors.append(f"Stray end tag '{tag}'")
+        if not self.depth[tag]:
+            if tag not in VOID:
+                self.errors.append(f"Stray end tag '{tag}'")
+            return
+        depth = len(self.open) - 1
+        while self.open[depth].tag != tag and self.open[depth].tag in IMPLIED:
+            depth -= 1
+        if self.open[depth].tag != tag:
+            self.errors.append(f"End tag '{tag}' seen, but there were open elements")
+        while self.open[-1].tag != tag:
+            self._pop()
+        self._pop()
+
+    def _raw(self, page: str, at: int, tag: str) -> int:
+        """The text up to the element's end tag; the place behind it."""
+        found = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*+(?:>|\Z)", re.I).search(page, at)
+        text = page[at : found.start()] if found else page[at:]
+        if text:
+            self.chunks.append(_html.unescape(text) if tag in TEXT_ONLY and "&" in text else text)
+        while self.open[-1].tag != tag:
+            self._pop()
+        self._pop()
+        return found.end() if found else len(page)
 
-    def handle_data(self, data: str) -> None:
-        if not self.body and data.strip() and self.nodes[self.open[-1]]["tag"] in ("html", "head"):
+    def _text(self, text: str) -> None:
+        if not text:
+            return
+        if not self.body and self.open[-1].tag in ("html", "head"):
+            if not text.strip():
+                self.chunks.append(text)
+                return
             self._place("#text")
-        for x in self.open:
-            if self.nodes[x]["tag"] in WITH_TEXT:
-                self.nodes[x]["text"].append(data)
-
-    def done(self) -> list[dict]:
-        self.close()
-        if not self.body:
-            self._place("body")
-            self._push("body", [])
-        while self.open:
-            self._pop()
-        for n in self.nodes:
-            n["text"] = "".join(n["text"]) if n["tag"] in WITH_TEXT else None
-            n["attrs"] = list(n["attrs"].items())
-        return self.nodes
+        self.chunks.append(_html.unescape(text) if "&" in text else text)
 
 
-def parse(html: str | None) -> tuple[list[dict], list[str]]:
-    tree = Tree()
-    tree.feed(html or "")
-    return tree.done(), tree.errors
+def parse(page: str | None) -> Tree:
+    """The tree of a page; a null page is an empty one. Every page has html, head and body."""
+    return Tree(page or "")
 
 
 #: Properties that a type must have (fixed values).
@@ -167,24 +231,26 @@ def _type(entity: dict) -> str | None:
     return kind if isinstance(kind, str) else None
 
 
+def _nodes(value: object) -> Iterator[dict]:
+    """Objects of a block in order: itself or its items, and whatever lies in @graph; of any depth."""
+    waiting = [value]
+    while waiting:
+        x = waiting.pop()
+        if isinstance(x, list):
+            waiting += reversed(x)
+        elif isinstance(x, dict):
+            yield x
+            waiting.append(x.get("@graph"))
+
+
 def _all_types(value: object) -> list[str]:
-    if isinstance(value, list):
-        return [t for x in value for t in _all_types(x)]
-    if not isinstance(value, dict):
-        return []
-    kind = value.get("@type")
-    own = [kind] if isinstance(kind, str) else [x for x in kind if isinstance(x, str)] if isinstance(kind, list) else []
-    return own + _all_types(value.get("@graph"))
+    kinds = (x.get("@type") for x in _nodes(value))
+    return [t for kind in kinds for t in (kind if isinstance(kind, list) else [kind]) if isinstance(t, str)]
 
 
 def _entities(value: object) -> list[dict]:
-    if isinstance(value, list):
-        return [e for x in value for e in _entities(x)]
-    if not isinstance(value, dict):
-        return []
-    text = lambda k: value[k] if isinstance(value.get(k), str) else None
-    own = [{"id": text("@id") or text("url"), "type": _type(value), "name": text("name"), "url": text("url")}] if text("@id") or text("url") else []
-    return own + _entities(value.get("@graph"))
+    text = lambda x, k: x[k] if isinstance(x.get(k), str) else None
+    return [{"id": text(x, "@id") or text(x, "url"), "type": _type(x), "name": text(x, "name"), "url": text(x, "url")} for x in _nodes(value) if text(x, "@id") or text(x, "url")]
 
 
 def _author(value: object) -> bool:
@@ -262,34 +328,3 @@ def linked_data(blocks: list[str]) -> tuple[list[tuple], list[str], bool, list[d
             if len(at) > 1:
                 found.append(("warning", "structured-data/duplicate-type", ", ".join(f"script[type='application/ld+json']:nth({n})" for n in at), f"Type '{t}' is declared {len(at)} times"))
     return found, types, author, entities
-
-
-def with_elements(pages: DataFrame) -> DataFrame:
-    """Adds els, parse_errors and what JSON-LD says (ld_findings, ld_types, ld_author, entities) to rows with html.
-
-    A null html is an empty document; every document has html, head and body. Other columns stay.
-    """
-    columns = pages.columns
-    at = columns.index("html")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 200):
-                part = batch.slice(start, 200)
-                els, errors, found, types, authors, entities = [], [], [], [], [], []
-                for html in part.column(at).to_pylist():
-                    nodes, wrong = parse(html)
-                    blocks = [n["text"] for n in nodes if n["tag"] == "script" and dict(n["attrs"]).get("type", "").lower() == "application/ld+json"]
-                    f, t, a, e = linked_data(blocks)
-                    els.append(nodes)
-                    errors.append(wrong)
-                    found.append([dict(zip(("level", "rule_id", "selector", "message"), x, strict=True)) for x in f])
-                    types.append(t)
-                    authors.append(a)
-                    entities.append(e)
-                new = [pa.array(els, pa.list_(ELEMENT)), pa.array(errors, pa.list_(pa.string())), pa.array(found, pa.list_(LD_FINDING)), pa.array(types, pa.list_(pa.string())), pa.array(authors), pa.array(entities, pa.list_(ENTITY))]
-                names = [*columns, "els", "parse_errors", "ld_findings", "ld_types", "ld_author", "entities"]
-                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=names)
-
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema)
-    return pages.mapInArrow(run, f"{kept}, {ADDED}")

@@ -8,6 +8,7 @@ import json
 from .presets import GROUPS, PRESETS
 
 _OFF = {"enabled": False}
+#: The settings that hold unless others are given (fixed values).
 DEFAULTS: dict = {
     "site": {"base_url": None}, "filters": {"include": [], "exclude": []},
     "url_normalization": {"trailing_slash": "always", "index_html": "forbid"},
@@ -32,6 +33,7 @@ DEFAULTS: dict = {
     "redirects": _OFF, "html_validation": {"enabled": False, "max_per_page": 20},
     "external_links": {"enabled": False, "timeout_ms": 3000, "max_concurrent": 10, "fail_on_broken": False, "allow_domains": [], "block_domains": []},
     "severity": {}, "max_errors": None, "max_warnings": None, "strict": False, "baseline": None, "write_baseline": False, "page_overview": False,
+    "format": "text", "extra_reports": [], "hints": {"source_files": False}, "project_root": None,
 }
 CHOICES = {("url_normalization", "trailing_slash"): ("always", "never", "ignore"), ("url_normalization", "index_html"): ("forbid", "allow")}
 LEVELS = ("error", "warning", "info", "off")

@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import is_internal, normalize_path
 from ..operators.site_rules import Frames, anchors
 from ..sources import from_table
-from . import findings, overview, parsed, type_histogram
+from . import findings, made, overview, overview_stats, parsed
 from .config import EVERYTHING, config
+from .made import only
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,13 +21,12 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audit(spark: SparkSession, sf_dir: str, settings: dict | None = None) -> DataFrame:
-    return findings(Frames(parsed(pages(spark, sf_dir))), settings)
+    return findings(Frames(parsed(pages(spark, sf_dir), settings)), settings)
 
 
 def _rules(*ids: str, **user: dict) -> Callable[[SparkSession, str], DataFrame]:
     """Findings of some rules, of an audit in which only their sections are on."""
-    off = {s: {k: False if isinstance(v, bool) else v for k, v in body.items()} for s, body in config().items() if isinstance(body, dict) and any(isinstance(v, bool) for v in body.values())}
-    return lambda s, d: audit(s, d, config(user, off)).where(F.col("rule_id").isin(*ids)).select("rule_id", "file", "level")
+    return lambda s, d: audit(s, d, config(user, only(user))).where(F.col("rule_id").isin(*ids)).select("rule_id", "file", "level")
 
 
 def _synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,32 +44,31 @@ def _synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _synthetic_rules(*ids: str, **user: dict) -> Callable[[SparkSession, str], DataFrame]:
-    off = {s: {k: False if isinstance(v, bool) else v for k, v in body.items()} for s, body in config().items() if isinstance(body, dict) and any(isinstance(v, bool) for v in body.values())}
-    return lambda s, d: findings(Frames(parsed(_synthetic(s, d))), config(user, off)).where(F.col("rule_id").isin(*ids)).select("rule_id", "file", "level")
+    def found(spark: SparkSession, sf_dir: str) -> DataFrame:
+        c = config(user, only(user))
+        return findings(Frames(parsed(_synthetic(spark, sf_dir), c)), c).where(F.col("rule_id").isin(*ids)).select("rule_id", "file", "level")
+
+    return found
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = anchors(parsed(pages(spark, sf_dir)), lambda x: normalize_path(x))
-    return rows.groupBy("file").agg(F.count(F.lit(1)).alias("n_links"), F.count_if(is_internal(F.col("href"), F.col("site"))).alias("n_internal"))
+    rows = anchors(parsed(pages(spark, sf_dir)))
+    return rows.groupBy("file").agg(F.count(F.lit(1)).alias("n_links"), F.count_if("internal").alias("n_internal"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     full = config(None, EVERYTHING | {"max_errors": None, "write_baseline": False})
     facts = lambda s, d: parsed(pages(s, d))
-    return {
-        "audit": lambda s, d: audit(s, d).drop("confidence"),
+    return made.queries() | {
+        "audit": lambda s, d: audit(s, d).select("site", "file", "check_idx", "level", "rule_id", "selector"),
         "audit_everything": lambda s, d: audit(s, d, full).groupBy("rule_id", "level").agg(F.count(F.lit(1)).alias("n")),
         "summary_by_level": lambda s, d: audit(s, d).groupBy("level").agg(F.count(F.lit(1)).alias("n")),
-        "overview": lambda s, d: overview(facts(s, d)).select("file", "title", "lang", "h1_text", "h1_count", "noindex", "has_viewport", "has_main"),
-        "overview_types": lambda s, d: type_histogram(facts(s, d)),
+        "overview": lambda s, d: overview(facts(s, d)).drop("site", "json_ld_types"),
+        "overview_stats": lambda s, d: overview_stats(overview(facts(s, d))),
         "links_per_page": _links,
-        "canonical_missing": _rules("canonical/missing", canonical={"require": True}),
         "html_basics": _rules("html/lang-missing", "html/title-missing", "html/title-empty", "html/title-too-long", "html/viewport-missing", html_basics={"lang_attr_required": True, "title_required": True, "viewport_required": True}),
-        "landmarks": _rules("a11y/landmark-main-missing", "a11y/landmark-header-missing", "a11y/landmark-nav-missing", "a11y/landmark-footer-missing", a11y={"check_landmarks": True}),
-        "inline_scripts": _rules("security/inline-scripts", security={"warn_inline_scripts": True}),
         "links_broken": _rules("links/broken", links={"check_internal": True, "fail_on_broken": True}),
         "links_orphan": _rules("links/orphan-page", links={"detect_orphan_pages": True}),
-        "i18n_mismatch": _rules("i18n/lang-locale-mismatch", i18n_audit={"enabled": True}),
         "duplicate_titles": _rules("content/duplicate-title", content_quality={"detect_duplicate_titles": True}),
         "shop_basics": _synthetic_rules("html/lang-missing", "html/title-empty", "a11y/img-alt", "headings/skip-level", "images/missing-dimensions", html_basics={"lang_attr_required": True, "title_required": True}, a11y={"img_alt_required": True}, headings={"no_skip": True}, images={"check_missing_dimensions": True}),
         "shop_canonical": _synthetic_rules("canonical/missing", "canonical/cluster", "canonical/target-missing", canonical={"require": True, "detect_clusters": True}),
@@ -88,14 +86,27 @@ def oracle_sql() -> dict[str, str]:
     hrefs = "unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1))"
     f = "'https://shop.example/o/' || o_orderkey || '/'"
     keys = "SELECT o_orderkey FROM orders"
-    return {
-        "canonical_missing": every("canonical/missing", "error"),
-        "inline_scripts": every("security/inline-scripts", "warning"),
-        "landmarks": " UNION ALL ".join([every("a11y/landmark-main-missing", "error"), every("a11y/landmark-header-missing", "info")]),
+    text = lambda tag: f"replace(trim(regexp_extract(html, '<{tag}>([^<]*)</{tag}>', 1)), '&amp;', '&')"
+    path = r"regexp_replace(regexp_replace(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/(index\.html?)+$', '/'), '(\.html?)+$', '')"
+    route = f"CASE WHEN {path} LIKE '%/' THEN {path} ELSE {path} || '/' END"
+    site = "regexp_extract(url, '^(https?://[^/?#]+)', 1)"
+    # all that the default settings find on the raw pages, which have no canonical, viewport, main or header
+    one = lambda idx, level, rule, at: f"SELECT {site} AS site, url AS file, {idx} AS check_idx, '{level}' AS level, '{rule}' AS rule_id, '{at}' AS selector FROM pages"
+    lost = f"SELECT site, file, 1, 'error', 'links/broken', concat('a[href=', chr(39), href, chr(39), ']') FROM (SELECT {site} AS site, url AS file, {hrefs} AS href FROM pages)"
+    default = " UNION ALL ".join([one(0, "error", "canonical/missing", "head"), one(3, "error", "html/viewport-missing", "head"), f"{one(3, 'warning', 'html/title-too-long', 'title')} WHERE octet_length(encode(trim({title}))) > 60", one(2, "error", "a11y/landmark-main-missing", "body"), one(2, "info", "a11y/landmark-header-missing", "body"), lost])
+    falsy = ", ".join(f"false AS {x}" for x in ("has_canonical", "has_og_title", "has_og_description", "has_og_image", "has_json_ld", "has_skip_link", "noindex"))
+    shown = f"SELECT url AS file, {route} AS route, {text('title')} AS title, NULL AS meta_description, NULL AS canonical_url, {falsy}, CAST(1 AS INTEGER) AS h1_count, {text('h1')} AS h1_text, true AS has_lang_attr, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang_value FROM pages"
+    none = ", ".join(f"CAST(0 AS BIGINT) AS pages_with_{x}" for x in ("description", "canonical", "og_title", "og_description", "og_image", "json_ld", "skip_link", "noindex"))
+    linked = f"SELECT {site} AS site, {hrefs} || '/' AS target FROM pages"
+    return made.oracle_sql() | {
+        "audit": default,
+        "summary_by_level": f"SELECT level, count(*) AS n FROM ({default}) GROUP BY level",
+        "overview": shown,
+        "overview_stats": f"SELECT count(*) AS total_pages, count(*) AS pages_with_h1, count(*) AS pages_with_lang, count(*) FILTER (title <> '') AS pages_with_title, {none} FROM ({shown})",
+        "links_orphan": f"SELECT 'links/orphan-page' AS rule_id, file, 'warning' AS level FROM (SELECT {site} AS site, url AS file, {route} AS route FROM pages) p WHERE route <> '/' AND NOT EXISTS (SELECT 1 FROM ({linked}) l WHERE l.site = p.site AND l.target = p.route)",
         "html_basics": f"{every('html/viewport-missing', 'error')} UNION ALL {every('html/title-too-long', 'warning')} WHERE octet_length(encode(trim({title}))) > 60",
         "links_per_page": "SELECT url AS file, CAST(len(regexp_extract_all(html, '<a href=\"')) AS BIGINT) AS n_links, CAST(len(regexp_extract_all(html, '<a href=\"')) AS BIGINT) AS n_internal FROM pages WHERE html LIKE '%<a href=\"%'",
         "links_broken": f"SELECT 'links/broken' AS rule_id, file, 'error' AS level FROM (SELECT url AS file, {hrefs} AS href FROM pages)",
-        "i18n_mismatch": "SELECT 'i18n/lang-locale-mismatch' AS rule_id, url AS file, 'warning' AS level FROM pages WHERE false",
         "duplicate_titles": f"SELECT 'content/duplicate-title' AS rule_id, file, 'warning' AS level FROM (SELECT url AS file, count(*) OVER (PARTITION BY regexp_extract(url, '^(https?://[^/?#]+)', 1), trim({title})) AS n FROM pages) WHERE n > 1",
         "shop_basics": f"SELECT 'html/lang-missing' AS rule_id, {f} AS file, 'error' AS level FROM orders WHERE o_orderkey % 5 = 0 UNION ALL SELECT 'html/title-empty', {f}, 'error' FROM orders WHERE o_orderkey % 11 = 0 UNION ALL SELECT 'a11y/img-alt', {f}, 'error' FROM orders WHERE o_orderkey % 7 = 0 UNION ALL SELECT 'images/missing-dimensions', {f}, 'error' FROM orders WHERE o_orderkey % 7 = 0 UNION ALL SELECT 'headings/skip-level', {f}, 'warning' FROM orders WHERE o_orderkey % 4 = 0",
         "shop_canonical": f"SELECT 'canonical/missing' AS rule_id, {f} AS file, 'error' AS level FROM orders WHERE o_orderkey % 3 <> 0 UNION ALL SELECT 'canonical/cluster', {f}, 'warning' FROM (SELECT *, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders WHERE o_orderkey % 3 = 0) WHERE n > 1 UNION ALL SELECT 'canonical/target-missing', {f}, 'warning' FROM orders WHERE o_orderkey % 3 = 0 AND o_custkey NOT IN ({keys})",
