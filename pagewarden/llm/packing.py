@@ -156,8 +156,8 @@ def _best_fit(left: _Counts, made: Counter, capacity: int) -> None:
         made.update(shapes)
 
 
-def pieces_of(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:
-    """Token pieces of (doc_id, text): doc_id, piece, start, length, ids_crc32 and, if asked for, ids.
+def pieces_of(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, with_ids: bool = False, order: str | None = None) -> DataFrame:
+    """Token pieces of (doc_id, text): doc_id, piece, start, length, ids_crc32 and, if asked for, ids and _order (the column ``order``).
 
     Each document's ids end with END_ID, so an empty or null text is one piece of one id. Only longer documents are
     cut, into pieces of ``capacity``; the first may be shorter.
@@ -179,45 +179,54 @@ def pieces_of(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None
                 begin = offsets[row] + start
                 out = {"doc_id": part.column("doc_id").take(pa.array(row)), "piece": pa.array(piece, pa.int32()), "start": start, "length": length}
                 out["ids_crc32"] = pa.array([crc32(ids[a : a + m]) for a, m in zip(begin, length, strict=True)], pa.int64())
+                if order:
+                    out["_order"] = part.column("_order").take(pa.array(row))
                 if with_ids:
                     out["ids"] = pa.array([ids[a : a + m].astype(np.int32) for a, m in zip(begin, length, strict=True)], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_pydict(out)
 
-    kind = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, kind)
+    kind = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", _order long" * bool(order) + ", ids array<int>" * with_ids
+    return docs.select(F.col("doc_id").cast("long"), "text", *([F.col(order).cast("long").alias("_order")] if order else [])).mapInArrow(cut, kind)
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, with_ids: bool = False, grain: int = 8, parts: int = 3) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, with_ids: bool = False, grain: int = 8, parts: int = 3, order: str | None = None) -> DataFrame:
     """Packs the documents' token pieces into sequences of at most ``capacity`` ids.
 
     One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and ids if asked for. Every piece
-    gets a place; sequences are gapless from offset 0. An empty table gives an empty result; repeated rows, ties and
-    null doc_ids are packed like others; columns other than doc_id and text are not read.
+    gets a place; sequences are gapless from offset 0. ``order`` names a column of 64-bit numbers, spread about evenly
+    over their range: of pieces of one length those come first in whose documents it is less, and sequences of all
+    patterns are numbered in step, so that ascending sequence_ids follow the documents' order as far as lengths allow.
+    Without it the order is that of a hash. An empty table gives an empty result; repeated rows, ties and null doc_ids
+    are packed like others; texts may have any length; columns other than doc_id, text and ``order`` are not read.
     """
-    rows = stored(pieces_of(docs, capacity, vocabulary, with_ids), "pieces")
+    rows = stored(pieces_of(docs, capacity, vocabulary, with_ids, order), "pieces")
+    shown = [c for c in rows.columns if c != "_order"]
     histogram = {int(r[0]): int(r[1]) for r in rows.groupBy("length").count().collect()}  # at most ``capacity`` rows
-    at, key, base, offset = 0, [], [], []
+    key, times, offset, number = [], [], [], []
     ranks: Counter = Counter()
-    for shape, count in plan(histogram, capacity, grain, parts):
+    for n, (shape, count) in enumerate(plan(histogram, capacity, grain, parts)):
         place = 0
         for length in shape:
             key.append((length << 44) + ranks[length])
-            base.append(at - ranks[length])
+            times.append(count)
             offset.append(place)
+            number.append(n)
             ranks[length] += count
             place += length
-        at += count
-    order = np.argsort(np.array(key, dtype=np.int64), kind="stable")
-    keys, bases, offsets = (np.array(x, dtype=np.int64)[order] for x in (key, base, offset))
+    by_key = np.argsort(np.array(key, dtype=np.int64), kind="stable")
+    keys, counts, offsets, shapes = (np.array(x, dtype=np.int64)[by_key] for x in (key, times, offset, number))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rank = batch.column("rank").to_numpy()
-            where = np.searchsorted(keys, (batch.column("length").to_numpy() << 44) + rank, side="right") - 1
-            out = {c: batch.column(c) for c in batch.schema.names if c not in ("rank", "_order")}
-            yield pa.RecordBatch.from_pydict(out | {"sequence_id": bases[where] + rank, "offset": offsets[where]})
-
-    spread = rows.withColumn("_order", F.xxhash64("doc_id", "piece"))
-    placed = ranked(spread, ["length"], "_order", ["doc_id", "piece", "ids_crc32"], near_equal_buckets(sum(histogram.values())))
-    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", sequence_id long, offset long"
-    return placed.select(*rows.columns, "rank").mapInArrow(assign, kind)
+            rank, length = batch.column("rank").to_numpy(), batch.column("length").to_numpy()
+            where = np.searchsorted(keys, (length << 44) + rank, side="right") - 1
+            nth = rank - (keys[where] & ((1 << 44) - 1))
+            # how far a sequence is among those of its shape, then the shape
+            sequence = ((nth + 0.5) / counts[where] * 2.0**40).astype(np.int64) << 22 | shapes[where]
+            out = {c: batch.column(c) for c in shown}
+            yield pa.RecordBatch.from_pydict(out | {"sequence_id": sequence, "offset": offsets[where]})
+
+    spread = rows if order else rows.withColumn("_order", F.xxhash64("doc_id", "piece"))
+    placed = ranked(spread.withColumn("_order", F.coalesce("_order", F.lit(0).cast("long"))), ["length"], "_order", ["doc_id", "piece", "ids_crc32"], near_equal_buckets(sum(histogram.values())))
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "_order") + ", sequence_id long, offset long"
+    return placed.select(*shown, "rank").mapInArrow(assign, kind)

@@ -409,3 +409,33 @@ def test_components_with_hubs(spark):
     out = common.components(spark.createDataFrame(edges, "a long, b long")).collect()
     touched = {x for a, b in edges if a != b for x in (a, b)}
     assert {r.node: r.component for r in out} == {x: find(x) for x in touched} and len(out) == len(touched)
+
+
+def test_packing_against_the_library(spark, docs, texts):
+    """Every piece is where the library's ids say, cut as asked, and every id has one place."""
+    e = Encoder(default_vocabulary())
+    for capacity in (64, 2048):
+        got = packing.pack(docs, capacity).collect()
+        want = Counter()
+        for i, t in texts:
+            ids = [*e._plain([t or ""])[0], 0]
+            first = len(ids) % capacity or capacity
+            bounds = [0, *range(first, len(ids) + 1, capacity)]
+            for n, (a, b) in enumerate(zip(bounds, bounds[1:])):
+                want[i, n, a, b - a, crc32(np.array(ids[a:b]))] += 1
+        assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+        places = {(r.sequence_id, r.offset + k) for r in got for k in range(r.length)}
+        assert len(places) == sum(r.length for r in got)
+
+
+def test_packing_follows_the_order_of_files(spark, tmp_path):
+    rows = [(i, " ".join(["word"] * (900 + 40 * (i % 3)))) for i in range(600)]
+    random.Random(1).shuffle(rows)
+    table = spark.createDataFrame([(n, i, t) for n, (i, t) in enumerate(rows)], "n int, doc_id long, text string")
+    table.repartitionByRange(3, "n").sortWithinPartitions("n").drop("n").write.parquet(f"{tmp_path}/in")
+    got = corpus_pipeline.pack_sequences(spark, spark.read.parquet(f"{tmp_path}/in"), "").toPandas()
+    place = {i: n for n, (i, _) in enumerate(rows)}
+    of = got.doc_id.map(place)
+    assert len(got) == 600 and np.corrcoef(of, got.sequence_id.rank(method="dense"))[0, 1] > 0.95
+    plain = corpus_pipeline.pack_sequences(spark, spark.createDataFrame(rows, DOCS), "")
+    assert plain.count() == 600
