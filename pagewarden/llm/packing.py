@@ -202,29 +202,37 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = Non
     rows = stored(pieces_of(docs, capacity, vocabulary, with_ids, order), "pieces")
     shown = [c for c in rows.columns if c != "_order"]
     histogram = {int(r[0]): int(r[1]) for r in rows.groupBy("length").count().collect()}  # at most ``capacity`` rows
-    key, times, offset, number = [], [], [], []
+    # for each shape and length in it: its first rank, how many pieces of the length a sequence has, and their offsets
+    key, each, at, offset, number, begin, step = [], [], [], [], [], [], []
     ranks: Counter = Counter()
     for n, (shape, count) in enumerate(plan(histogram, capacity, grain, parts)):
-        place = 0
-        for length in shape:
+        starts = np.concatenate([[0], np.cumsum(shape)[:-1]])
+        far = sum((ranks[x] + shape.count(x) / 2) / histogram[x] for x in shape) / len(shape)
+        for length in sorted(set(shape)):
+            own = [int(a) for a, x in zip(starts, shape, strict=True) if x == length]
             key.append((length << 44) + ranks[length])
-            times.append(count)
-            offset.append(place)
+            each.append(len(own))
+            at.append(len(offset))
+            offset += own
             number.append(n)
-            ranks[length] += count
-            place += length
+            # where in the order the pieces of the shape's sequences are on average: of the first one, and from one to the next
+            begin.append(far)
+            step.append(sum(shape.count(x) / histogram[x] for x in shape) / len(shape))
+            ranks[length] += count * len(own)
     by_key = np.argsort(np.array(key, dtype=np.int64), kind="stable")
-    keys, counts, offsets, shapes = (np.array(x, dtype=np.int64)[by_key] for x in (key, times, offset, number))
+    keys, several, firsts, shapes = (np.array(x, dtype=np.int64)[by_key] for x in (key, each, at, number))
+    begins, steps = (np.array(x, dtype=np.float64)[by_key] for x in (begin, step))
+    offsets = np.array(offset, dtype=np.int64)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rank, length = batch.column("rank").to_numpy(), batch.column("length").to_numpy()
             where = np.searchsorted(keys, (length << 44) + rank, side="right") - 1
-            nth = rank - (keys[where] & ((1 << 44) - 1))
-            # how far a sequence is among those of its shape, then the shape
-            sequence = ((nth + 0.5) / counts[where] * 2.0**40).astype(np.int64) << 22 | shapes[where]
+            nth, slot = np.divmod(rank - (keys[where] & ((1 << 44) - 1)), several[where])
+            # how far a sequence is in the order, then its shape
+            sequence = ((begins[where] + nth * steps[where]) * 2.0**40).astype(np.int64) << 22 | shapes[where]
             out = {c: batch.column(c) for c in shown}
-            yield pa.RecordBatch.from_pydict(out | {"sequence_id": sequence, "offset": offsets[where]})
+            yield pa.RecordBatch.from_pydict(out | {"sequence_id": sequence, "offset": offsets[firsts[where] + slot]})
 
     spread = rows if order else rows.withColumn("_order", F.xxhash64("doc_id", "piece"))
     placed = ranked(spread.withColumn("_order", F.coalesce("_order", F.lit(0).cast("long"))), ["length"], "_order", ["doc_id", "piece", "ids_crc32"], near_equal_buckets(sum(histogram.values())))

@@ -439,3 +439,42 @@ def test_packing_follows_the_order_of_files(spark, tmp_path):
     assert len(got) == 600 and np.corrcoef(of, got.sequence_id.rank(method="dense"))[0, 1] > 0.95
     plain = corpus_pipeline.pack_sequences(spark, spark.createDataFrame(rows, DOCS), "")
     assert plain.count() == 600
+
+
+def test_pipeline_end_to_end(spark, tmp_path):
+    """Toxic documents go, one of each group of near copies stays, repeated passages are cut, and every id of the rest has a place."""
+    rng = random.Random(12)
+    rows = {i: prose(9000 + i, 80) for i in range(240)}
+    for i in range(300, 360):  # toxic ones
+        words = prose(9000 + i, 60).split()
+        for _ in range(4):
+            words.insert(rng.randrange(len(words)), rng.choice(["vilefolk", "grumbelos", "grumbelan"]))
+        rows[i] = " ".join(words)
+    rows[400], rows[401] = rows[3].replace(rows[3].split()[40], "edited", 1), rows[3]
+    before, after = prose(9500, 30), prose(9501, 30)
+    rows[402] = f"{before} {' '.join(rows[5].split()[10:70])} {after}"
+    rows[403], rows[404] = "", None
+    labels = [(i, 1, int(i >= 300)) for i in rows if i < 360 and i % 6]
+    spark.createDataFrame([(i, t, "en", f"s{i % 3}", len(t or ""), "x") for i, t in rows.items()], "doc_id long, text string, lang string, source string, n_chars long, position string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    want = {i: t for i, t in rows.items() if i < 300 or i > 401}
+    want[402] = f"{before} {after}"
+    e, got = Encoder(default_vocabulary()), corpus_pipeline.run(spark, f"{tmp_path}").collect()
+    pieces = {i: [*e._plain([t or ""])[0], 0] for i, t in want.items()}
+    assert {r.doc_id for r in got} == set(want)
+    assert {(r.doc_id, r.length, r.ids_crc32) for r in got} == {(i, len(ids), crc32(np.array(ids))) for i, ids in pieces.items()}
+    places = [(r.sequence_id, r.offset + k) for r in got for k in range(r.length)]
+    assert len(places) == len(set(places)) == sum(map(len, pieces.values()))
+
+
+@pytest.mark.parametrize("how", ["empty", "null", "repeated"])
+def test_operators_on_odd_tables(spark, how):
+    """Empty tables, null texts and ids, and repeated rows with clashing columns: every operator gives its rows, none crashes."""
+    rows = {"empty": [], "null": [(None, None, None, None)] * 3 + [(1, None, "s", 2)], "repeated": [(7, prose(7, 60), "s", 1)] * 4 + [(7, prose(8, 60), "s", 1), (8, prose(7, 60), None, 1)]}[how]
+    docs = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, source string, n int, _order int, rank int, a int")
+    labels = spark.createDataFrame([(r[0], 1, 0) for r in rows], "doc_id long, quality int, toxic int")
+    for run in (lambda: quality.op1_quality(docs, labels), lambda: packing.pack(docs), lambda: pfor.op4_token_ids(docs), lambda: mixing.op6_mixing(docs), lambda: fingerprints.op7_fingerprints(docs), lambda: sharding.op8_sharding(docs), lambda: toxicity.op9_toxicity(docs, labels), lambda: jaccard_join.op10_jaccard_join(docs)):
+        assert run().count() == len(rows)
+    found = passages.op3_passages(docs).collect()
+    assert {(r.doc_id, r.partner_id, r.kind) for r in found} == ({(8, 7, "copy")} if how == "repeated" else set())
+    assert passages.without_passages(docs, passages.op3_passages(docs)).count() == len(rows) - (how == "repeated")
