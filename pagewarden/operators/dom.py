@@ -19,12 +19,13 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 HEAD = frozenset("title meta link script style base noscript template".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "a": {"a"}, "button": {"button"}}
+_P = {"p"}
 FENCES = frozenset("table ul ol dl select td th body html button object".split())
 #: Elements that end without an end tag where another one ends.
 IMPLIED = frozenset("p li dt dd option optgroup tr td th tbody thead tfoot".split())
 RAW = frozenset("script style xmp iframe noembed noframes noscript".split())
 TEXT_ONLY = frozenset("title textarea".split())
-SECTIONS = ("article", "aside", "main", "nav", "section")
+SECTIONS = frozenset("article aside main nav section".split())
 
 _VALUE = r"""(?:"([^"]*+)"|'([^']*+)'|((?!["'])[^\s>]*+))"""
 _ATTRIBUTE = re.compile(rf"([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+{_VALUE})?+")
@@ -73,6 +74,7 @@ class Tree:
         self.chunks: list[str] = []
         self.errors: list[str] = []
         self.body = self.headed = False
+        self.sections = 0  # open ones
         self._push("html", {})
         at = 0
         while at < len(page):
@@ -97,17 +99,18 @@ class Tree:
 
     def _push(self, tag: str, attrs: dict[str, str]) -> None:
         node = Node(len(self.nodes), tag, attrs)
-        node.head, node.label = self.depth["head"] > 0, self.depth["label"] > 0
-        node.section = any(self.depth[x] for x in SECTIONS)
+        node.head, node.label, node.section = self.depth["head"] > 0, self.depth["label"] > 0, self.sections > 0
         node.first = node.last = len(self.chunks)
         self.nodes.append(node)
         self.open.append(node)
         self.depth[tag] += 1
+        self.sections += tag in SECTIONS
 
     def _pop(self) -> None:
         node = self.open.pop()
         node.end, node.last = len(self.nodes), len(self.chunks)
         self.depth[node.tag] -= 1
+        self.sections -= node.tag in SECTIONS
 
     def _place(self, tag: str) -> None:
         """Opens head or body where the document leaves them out."""
@@ -155,8 +158,8 @@ class Tree:
             self._pop()
 
     def _imply(self, tag: str) -> None:
-        closing = CLOSED_BY.get(tag, {"p"} if tag in CLOSES_P else ())
-        if not any(self.depth[x] for x in closing):
+        closing = CLOSED_BY.get(tag) or (_P if tag in CLOSES_P else None)
+        if closing is None or not any(self.depth[x] for x in closing):
             return
         for depth in range(len(self.open) - 1, 0, -1):
             name = self.open[depth].tag

@@ -21,10 +21,17 @@ ORDER = ["check_idx", "site", "file", "seq", "rule_id", "selector", "message"]
 
 
 def parsed(pages: DataFrame, settings: dict | None = None) -> DataFrame:
-    """Pages (site, file, route, absolute_url, html) as facts and findings of their own, in place of the html; parsed once, for all rules.
+    """with_facts(), parsed once for all rules: the facts are kept in memory and on disk, since many joins read them.
 
-    The facts are kept in memory and on disk, since many joins read them; what a lost executor held is parsed again. A
-    page that can't be worked out is a page without facts, and one finding html/syntax-error tells why.
+    What a lost executor held is parsed again.
+    """
+    return with_facts(pages, settings).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def with_facts(pages: DataFrame, settings: dict | None = None) -> DataFrame:
+    """Pages (site, file, route, absolute_url, html) as facts and findings of their own (FACTS), in place of the html.
+
+    A page that can't be worked out is a page without facts, and one finding html/syntax-error tells why.
     """
     c = settings or config()
     keys = ["site", "file", "route", "absolute_url"]
@@ -40,7 +47,7 @@ def parsed(pages: DataFrame, settings: dict | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_pydict(columns)
 
     schema = ", ".join([*(f"{k} string" for k in keys), *(f"{k} {v}" for k, v in FACTS.items())])
-    return pages.select(*keys, "html").mapInArrow(run, schema).persist(StorageLevel.MEMORY_AND_DISK)
+    return pages.select(*keys, "html").mapInArrow(run, schema)
 
 
 def safely(site: str | None, file: str, route: str, absolute_url: str | None, html: str | None, c: dict) -> dict:
@@ -316,4 +323,4 @@ def audit(spark: SparkSession, source: DataFrame | str, settings: dict | None =
     return Audit(frames, c, project)
 
 
-__all__ = ["Audit", "Frames", "audit", "exit_code", "findings", "overview", "overview_stats", "parsed", "post_process", "summary", "type_histogram", "without_baseline"]
+__all__ = ["Audit", "Frames", "audit", "exit_code", "findings", "overview", "overview_stats", "parsed", "post_process", "summary", "type_histogram", "with_facts", "without_baseline"]

@@ -17,6 +17,7 @@ from pagewarden.plans.reports import overview_report, report
 from pagewarden.sources import content, from_folder, from_table, robots, sitemap, statuses
 from pagewarden.sources.images import image_size
 from pagewarden.sources.site_files import locations
+from pagewarden.streaming import counts_by_time, page_findings
 from pyspark.sql import functions as F
 
 GOOD = '<!DOCTYPE html><html lang="en"><head><title>Home</title><meta name="viewport" content="w"><link rel="canonical" href="https://a.example/{0}"></head><body><header></header><nav><a href="/">home</a></nav><main><h1>x</h1></main><footer></footer></body></html>'
@@ -325,3 +326,18 @@ def test_columns_and_strings_agree_on_addresses(spark):
 def test_addresses_are_taken_apart_as_browsers_do():
     assert urls.parsed("HTTPS:\\\\bücher.example\\a b").origin() == "https://xn--bcher-kva.example" and urls.parsed("https://a.example/ü b/%41/../c").path == "/%C3%BC%20b/c"
     assert urls.parsed("https://a.example:99999/") is None and urls.parsed("https://") is None and urls.parsed("x/y") is None and urls.origin("mailto:a@b") is None
+
+
+def test_streams_of_pages(spark, tmp_path):
+    rows = [(f"https://a.example/{i}/", "<html></html>" if i % 2 else GOOD.format(f"{i}/"), f"2024-01-0{1 + i // 4} 10:00:00") for i in range(12)]
+    spark.createDataFrame(rows, "url string, html string, ts string").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{tmp_path}/in")
+    stream = lambda: spark.readStream.schema("url string, html string, ts timestamp").parquet(f"{tmp_path}/in")
+
+    def run(df, name, mode):
+        df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/{name}").start().awaitTermination()
+        return spark.table(name)
+
+    want = page_findings(spark.read.parquet(f"{tmp_path}/in"))
+    assert sorted(run(page_findings(stream()), "found", "append").collect()) == sorted(want.collect()) and want.where("rule_id = 'canonical/missing'").count() == 6
+    counts = {(r.window.start.day, r.n) for r in run(counts_by_time(stream(), every="1 day"), "counts", "update").where("rule_id = 'html/title-missing'").collect()}
+    assert counts == {(1, 2), (2, 2), (3, 2)}
