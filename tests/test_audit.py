@@ -1,9 +1,11 @@
 import json
 import struct
 import time
+from io import StringIO
 
 import pytest
 from pagewarden import functions
+from pagewarden.__main__ import main
 from pagewarden.functions import is_internal, normalize_path, resolve, route_of_file, urls
 from pagewarden.operators.dom import linked_data, parse
 from pagewarden.operators.help import HELP, SUGGESTION
@@ -12,6 +14,7 @@ from pagewarden.operators.site_rules import Frames, robots_rules, rule_weight, w
 from pagewarden.plans import audit as plan_audit
 from pagewarden.plans import exit_code, findings, parsed, summary, without_baseline
 from pagewarden.plans.config import DEFAULTS, EVERYTHING, ConfigError, config
+from pagewarden.plans.options import settings
 from pagewarden.plans.made import MADE, ROBOTS
 from pagewarden.plans.reports import overview_report, report
 from pagewarden.sources import content, from_folder, from_table, robots, sitemap, statuses
@@ -341,3 +344,15 @@ def test_streams_of_pages(spark, tmp_path):
     assert sorted(run(page_findings(stream()), "found", "append").collect()) == sorted(want.collect()) and want.where("rule_id = 'canonical/missing'").count() == 6
     counts = {(r.window.start.day, r.n) for r in run(counts_by_time(stream(), every="1 day"), "counts", "update").where("rule_id = 'html/title-missing'").collect()}
     assert counts == {(1, 2), (2, 2), (3, 2)}
+
+
+def test_command_and_options(spark, tmp_path):
+    root, out, problems = folder(tmp_path, index_html=GOOD.format("")), StringIO(), StringIO()
+    assert main([root], StringIO('{"site": {"base_url": "https://a.example"}, "format": "json"}'), out, problems) == 0
+    assert json.loads(out.getvalue())["summary"]["files_checked"] == 1
+    assert main([root], StringIO('{"html_basics": {"meta_description_required": true}, "strict": true, "site": {"base_url": "https://a.example"}}'), out, problems) == 1
+    assert [main(x, StringIO(y), out, problems) for x, y in (([f"{tmp_path}/none"], ""), ([], ""), ([root], "{"), ([root], '{"max_errors": 0}'))] == [2] * 4 and problems.getvalue().count("error: ") == 4
+    c = settings({"url_normalization": {"trailing_slash": "ignore"}}, site="https://a.example", trailing_slash="never", fail_on="warnings", baseline="b.json", project="/p", source_hints=True, ux_heuristics={"max_links_per_page": 3}, go_live={"enabled": True}, reports={"json": "o.json", "sarif": "/x/o.sarif"})
+    assert (c["url_normalization"]["trailing_slash"], c["strict"], c["baseline"], c["project_root"], c["format"]) == ("ignore", True, "/p/b.json", "/p", "json")
+    assert c["ux_heuristics"]["enabled"] and c["ux_heuristics"]["max_links_per_page"] == 3 and c["go_live"]["expected_site"] == "https://a.example" and [x["path"] for x in c["extra_reports"]] == ["/p/o.json", "/x/o.sarif"]
+    assert not settings(fail_on="warnings", strict=False)["strict"] and not settings()["strict"] and settings(trailing_slash="never")["url_normalization"]["trailing_slash"] == "never"
