@@ -451,14 +451,14 @@ def test_pipeline_end_to_end(spark, tmp_path):
             words.insert(rng.randrange(len(words)), rng.choice(["vilefolk", "grumbelos", "grumbelan"]))
         rows[i] = " ".join(words)
     rows[400], rows[401] = rows[3].replace(rows[3].split()[40], "edited", 1), rows[3]
-    before, after = prose(9500, 30), prose(9501, 30)
+    before, after = prose(9500, 30) + " leading", "ending " + prose(9501, 30)
     rows[402] = f"{before} {' '.join(rows[5].split()[10:70])} {after}"
     rows[403], rows[404] = "", None
     labels = [(i, 1, int(i >= 300)) for i in rows if i < 360 and i % 6]
     spark.createDataFrame([(i, t, "en", f"s{i % 3}", len(t or ""), "x") for i, t in rows.items()], "doc_id long, text string, lang string, source string, n_chars long, position string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     want = {i: t for i, t in rows.items() if i < 300 or i > 401}
-    want[402] = f"{before} {after}"
+    want[402] = f"{before}  {after}"  # words keep the white space before them
     e, got = Encoder(default_vocabulary()), corpus_pipeline.run(spark, f"{tmp_path}").collect()
     pieces = {i: [*e._plain([t or ""])[0], 0] for i, t in want.items()}
     assert {r.doc_id for r in got} == set(want)
