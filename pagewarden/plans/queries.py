@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.site_rules import Frames, anchors
+from ..operators.site_rules import Frames
 from ..sources import from_table
 from . import findings, made, overview, overview_stats, parsed
 from .config import EVERYTHING, config
@@ -52,8 +52,9 @@ def _synthetic_rules(*ids: str, **user: dict) -> Callable[[SparkSession, str], D
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = anchors(parsed(pages(spark, sf_dir)))
-    return rows.groupBy("file").agg(F.count(F.lit(1)).alias("n_links"), F.count_if("internal").alias("n_internal"))
+    """A row for each page with links; pages may share an address."""
+    rows = parsed(pages(spark, sf_dir)).select("file", F.size("anchors").cast("long").alias("n_links"), F.size(F.filter("anchors", lambda e: e.internal)).cast("long").alias("n_internal"))
+    return rows.where("n_links > 0")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

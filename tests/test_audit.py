@@ -16,6 +16,7 @@ from pagewarden.plans import exit_code, findings, parsed, summary, without_basel
 from pagewarden.plans.config import DEFAULTS, EVERYTHING, ConfigError, config
 from pagewarden.plans.options import settings
 from pagewarden.plans.made import MADE, ROBOTS
+from pagewarden.plans.queries import queries
 from pagewarden.plans.reports import overview_report, report
 from pagewarden.sources import content, from_folder, from_table, robots, sitemap, statuses
 from pagewarden.sources.images import image_size
@@ -356,3 +357,10 @@ def test_command_and_options(spark, tmp_path):
     assert (c["url_normalization"]["trailing_slash"], c["strict"], c["baseline"], c["project_root"], c["format"]) == ("ignore", True, "/p/b.json", "/p", "json")
     assert c["ux_heuristics"]["enabled"] and c["ux_heuristics"]["max_links_per_page"] == 3 and c["go_live"]["expected_site"] == "https://a.example" and [x["path"] for x in c["extra_reports"]] == ["/p/o.json", "/x/o.sarif"]
     assert not settings(fail_on="warnings", strict=False)["strict"] and not settings()["strict"] and settings(trailing_slash="never")["url_normalization"]["trailing_slash"] == "never"
+
+
+def test_links_of_pages_with_one_address(spark, tmp_path):
+    rows = [("https://a.example/x", '<a href="/y">y</a><a href="https://b.example/">b</a>'), ("https://a.example/x", '<a href="/z">z</a>'), ("https://a.example/y", "<p>none</p>")]
+    spark.createDataFrame(rows, "url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = queries()["links_per_page"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [("https://a.example/x", 1, 1), ("https://a.example/x", 2, 1)]
