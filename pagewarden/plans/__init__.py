@@ -285,7 +285,7 @@ class Audit:
         return measure(self.frames, self.settings)
 
     def close(self) -> None:
-        for df in (self.frames.pages, self._done.get("before_cap")):
+        for df in (self.frames.pages, *self.frames.kept, self._done.get("before_cap")):
             if df is not None:
                 df.unpersist()
 

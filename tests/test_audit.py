@@ -364,3 +364,18 @@ def test_links_of_pages_with_one_address(spark, tmp_path):
     spark.createDataFrame(rows, "url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = queries()["links_per_page"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == [("https://a.example/x", 1, 1), ("https://a.example/x", 2, 1)]
+
+
+def test_robots_of_many_sites_are_read_in_one_call(spark):
+    lines = [("User-agent: *", "Disallow: /a", "User-agent: x", "Allow: /"), ("", "User-agent: x", "# y", "User-agent: y", "Disallow:")]
+    rows = [(f"s{n}", i, x) for n in range(40) for i, x in reversed(list(enumerate(lines[n % 2])))]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        parsed_rules = robots_rules(spark.createDataFrame(rows, "site string, line_no int, line string"))
+        got = sorted(map(tuple, parsed_rules.collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    expected = [[(0, "*", False, "/a"), (1, "x", True, "/")], [(0, "x", None, None), (1, "y", False, "")]]
+    assert got == sorted([(f"s{n}", *x) for n in range(40) for x in expected[n % 2]], key=str)
+    assert "FlatMapGroups" not in parsed_rules._jdf.queryExecution().executedPlan().toString()
