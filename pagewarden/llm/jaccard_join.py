@@ -11,7 +11,9 @@ Candidates that hang together are gathered in units of bounded size; there each
 their own and summed per pair.
 
 There are a quarter more fragments than that, so linked documents share many of them; a document that shares fewer
-fragments with all others together cannot be linked to any and is left out.
+fragments with all others together cannot be linked to any and is left out. Nor can two documents that share fewer, so
+pairs that meet in rare fragments are counted, and those who meet by chance don't hang together; else, as the table
+grows, chance would gather most documents in one cluster, whose pairs of blocks take space with the square of its size.
 
 Sizes fall into classes; a document joins the fragments of its own class and of the next, so two documents of similar
 size meet in one of them. A document so small that fragments stay empty is also joined on its prefix n-grams.
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +38,8 @@ from .word_hashes import hashed, mixed, shingle_sets
 
 WORDS, PERCENT = 4, 85
 _UNIT_NGRAMS, _FRAGMENT = 1_000_000, 4_096
+#: A signature of more documents is frequent: these are joined with one of them only, not all with each other.
+_FEW = 32
 #: A set counts as so many n-grams at least when units are filled, so the matrix of a unit's pairs is bounded too.
 _LEAST_WEIGHT = 700
 #: In the screening: n-grams that a worker gathers into a block, n-grams of a bucket, buckets at most.
@@ -94,20 +99,53 @@ def least_shared(ngrams: np.ndarray, percent: int) -> int:
     return max(1, out)
 
 
-def _first_owners(sigs: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each signature once, with one of its owners; other owners share a key of their own with that one, counted.
+def _owners(sigs: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures with their owners, times and whether they are frequent.
 
-    So a signature that very many documents have is sent on once for each slice of the input, not for each document.
+    A signature of at most _FEW owners goes on with each of them. A frequent one goes on once, with one of its owners;
+    the others share a key of their own with that one, counted. So a signature that very many documents have is sent on
+    once for each slice of the input, not for each document.
     """
     order = np.lexsort((owner, sigs))
     sigs, owner = sigs[order], owner[order]
+    fresh = np.concatenate([[True], (sigs[1:] != sigs[:-1]) | (owner[1:] != owner[:-1])])
+    sigs, owner = sigs[fresh], owner[fresh]
     fresh = np.concatenate([[True], sigs[1:] != sigs[:-1]])
-    leader = owner[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
-    other = leader != owner
-    pairs, times = np.unique(np.stack([leader[other], owner[other]]), axis=1, return_counts=True)
+    nth, first = np.cumsum(fresh) - 1, np.flatnonzero(fresh)
+    often = np.bincount(nth)[nth] > _FEW
+    leader = owner[first[nth]]
+    pairs, times = np.unique(np.stack([leader[often & ~fresh], owner[often & ~fresh]]), axis=1, return_counts=True)
     with np.errstate(over="ignore"):
         tied = mixed(mixed(pairs[0].astype(np.uint64)) * np.uint64(3) + pairs[1].astype(np.uint64))
-    return np.concatenate([sigs[fresh], tied, tied]), np.concatenate([owner[fresh], pairs[0], pairs[1]]), np.concatenate([np.ones(int(fresh.sum()), dtype=np.int64), times, times]).astype(np.int32)
+    plain = ~often | fresh
+    count = np.concatenate([np.ones(int(plain.sum()), dtype=np.int64), times, times]).astype(np.int32)
+    return np.concatenate([sigs[plain], tied, tied]), np.concatenate([owner[plain], pairs[0], pairs[1]]), count, np.concatenate([often[plain], np.ones(2 * len(times), dtype=bool)])
+
+
+def _met(sig: np.ndarray, ids: np.ndarray, times: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges (pairs, times, whether a frequent signature makes them) of rows sorted by signature, which are whole groups.
+
+    Owners of a frequent signature are each joined with the first one, those of another all with each other.
+    """
+    first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+    size = np.diff(np.concatenate([first, [len(sig)]]))
+    strong = (np.add.reduceat(often.astype(np.int64), first) > 0) | (size > _FEW)
+    row = np.arange(len(sig))
+    lead = np.repeat(first, size)
+    star = np.repeat(strong, size) & (row != lead)
+    left, right, hot = [row[star]], [lead[star]], [np.ones(int(star.sum()), dtype=bool)]
+    place, plain = row - lead, np.repeat(~strong, size)
+    for back in range(1, int(size[~strong].max(initial=1))):
+        at = row[plain & (place >= back)]
+        left.append(at)
+        right.append(at - back)
+        hot.append(np.zeros(len(at), dtype=bool))
+    left, right, hot = np.concatenate(left), np.concatenate(right), np.concatenate(hot)
+    ends = np.stack([np.maximum(ids[left], ids[right]), np.minimum(ids[left], ids[right])])
+    differ = ends[0] != ends[1]
+    pairs, which = np.unique(ends[:, differ], axis=1, return_inverse=True)
+    which = which.ravel()
+    return pairs, np.bincount(which, times[left][differ], minlength=pairs.shape[1]).astype(np.int64), np.bincount(which, hot[differ], minlength=pairs.shape[1]) > 0
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
@@ -312,28 +350,33 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
             if not found:
                 continue
             owner = np.repeat(batch.column("doc_id").to_numpy(), [len(s) for s in found])
-            sigs, owner, times = _first_owners(np.concatenate(found), owner)
-            yield pa.RecordBatch.from_pydict({"sig": sigs.view(np.int64), "doc_id": owner, "times": times})
+            sigs, owner, times, often = _owners(np.concatenate(found), owner)
+            yield pa.RecordBatch.from_pydict({"sig": sigs.view(np.int64), "doc_id": owner, "times": times, "often": often})
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, leader = None, None
-        for batch in batches:
-            sig, ids, times = (batch.column(c).to_numpy() for c in ("sig", "doc_id", "times"))
-            if not len(sig):
-                continue
-            fresh = np.concatenate([[sig[0] != last], sig[1:] != sig[:-1]])
-            heads = np.flatnonzero(fresh)
-            nth = np.cumsum(fresh) - 1
-            lead = np.where(nth >= 0, ids[heads[np.maximum(nth, 0)]] if len(heads) else 0, 0 if leader is None else leader)
-            last, leader = sig[-1], lead[-1]
-            differ = lead != ids
-            pairs, which = np.unique(np.stack([ids[differ], lead[differ]]), axis=1, return_inverse=True)
-            yield pa.RecordBatch.from_pydict({"a": pairs[0], "b": pairs[1], "n": np.bincount(which.ravel(), times[differ], minlength=pairs.shape[1]).astype(np.int64)})
-
-    keyed = sets.select("doc_id", "ngrams").mapInArrow(emit, "sig long, doc_id long, times int").repartition("sig").sortWithinPartitions("sig", "doc_id")
-    star = stored(keyed.mapInArrow(meet, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")), "star")
+        kept = [np.zeros(0, dtype=t) for t in ("i8", "i8", "i4", "?")]  # of a group that may go on in the next batch
+        for batch in chain(batches, [None]):
+            new = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("sig", "doc_id", "times", "often")] if batch is not None else [x[:0] for x in kept]
+            kept = [np.concatenate(x) for x in zip(kept, new, strict=True)]
+            sig = kept[0]
+            cut = int(np.searchsorted(sig, sig[-1])) if batch is not None and len(sig) else len(sig)
+            whole, kept = [x[:cut] for x in kept], [x[cut:] for x in kept]
+            if len(kept[0]) > 4 * _FEW:  # frequent, however it goes on: its first owner stands for those so far
+                whole = [np.concatenate([x, y]) for x, y in zip(whole, kept, strict=True)]
+                kept = [x[:1] for x in kept]
+                kept[3] = np.ones(1, dtype=bool)
+            if len(whole[0]):
+                pairs, n, strong = _met(*whole)
+                yield pa.RecordBatch.from_pydict({"a": pairs[0], "b": pairs[1], "n": n, "strong": strong})
+
+    keyed = sets.select("doc_id", "ngrams").mapInArrow(emit, "sig long, doc_id long, times int, often boolean").repartition("sig").sortWithinPartitions("sig", "doc_id")
+    star = stored(keyed.mapInArrow(meet, "a long, b long, n long, strong boolean").groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("strong").alias("strong")), "star")
     shared = star.select(F.col("a").alias("doc_id"), "n").union(star.select("b", "n")).groupBy("doc_id").agg(F.sum("n").alias("n"))
+    least = sets.select("doc_id", "least")
     able = sets.select("doc_id", "n_shingles", "least").join(shared, "doc_id").where("n >= least").select("doc_id", "n_shingles")
+    # two documents that no frequent signature joins have been counted in full, so chance meetings hold no cluster together
+    weak = star.where("NOT strong").join(least.toDF("a", "least_a"), "a").join(least.toDF("b", "least_b"), "b").where("n >= greatest(least_a, least_b)")
+    star = stored(star.where("strong").select("a", "b").union(weak.select("a", "b")), "edges")
     clusters = components(star.select("a", "b")).withColumnsRenamed({"node": "doc_id", "component": "cluster"})
     weights = stored(able.join(clusters, "doc_id"), "clusters")
     weighed = weights.withColumn("h", F.xxhash64("doc_id")).withColumn("weight", F.greatest("n_shingles", F.lit(_LEAST_WEIGHT).cast("long")))

@@ -169,6 +169,28 @@ def edited_chain(n=40):
     return [*out, (n, out[0][1]), (n + 1, prose(6, 200)), (n + 2, "a b"), (n + 3, None)]
 
 
+def test_jaccard_join_keeps_chance_meetings_apart(spark, monkeypatch):
+    word = lambda *x: "w" + hashlib.md5(repr(x).encode()).hexdigest()[:8]
+    # each text has a near copy, and half of its words in common with the text before
+    passages_ = [[word(i, n) for n in range(75)] for i in range(31)]
+    texts = [passages_[i] + passages_[i + 1] for i in range(30)]
+    rows = [(2 * i + k, " ".join(x[: len(x) - k])) for i, x in enumerate(texts) for k in range(2)]
+    kept, stored = {}, jaccard_join.stored
+    monkeypatch.setattr(jaccard_join, "stored", lambda df, kind="table": kept.setdefault(kind, stored(df, kind)))
+    got = {r.doc_id: (r.component_id, r.n_links) for r in jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {n: (n - n % 2, 1) for n in range(60)}
+    assert kept["clusters"].select("cluster").distinct().count() == 30
+
+
+def test_jaccard_join_edges_of_signatures_over_batches(monkeypatch):
+    monkeypatch.setattr(jaccard_join, "_FEW", 3)
+    sigs, owner = np.array([7] * 5 + [8] * 3 + [9] * 2, dtype=np.uint64), np.array([1, 2, 3, 4, 5, 1, 2, 3, 4, 4])
+    sig, ids, times, often = jaccard_join._owners(sigs, owner)
+    order = np.lexsort((ids, sig))
+    pairs, n, strong = jaccard_join._met(sig[order].view(np.int64), ids[order], times[order], often[order])
+    assert {(int(a), int(b)): (int(c), bool(d)) for a, b, c, d in zip(*pairs, n, strong)} == {(2, 1): (2, True), (3, 1): (2, True), (4, 1): (1, True), (5, 1): (1, True), (3, 2): (1, False)}
+
+
 def test_jaccard_join_of_a_cluster_in_many_units(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "_UNIT_NGRAMS", 2_000)  # three or so documents a block
     rows = edited_chain()
