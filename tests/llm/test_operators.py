@@ -285,6 +285,51 @@ def test_passages_whose_lines_occurred_before(spark, parts, n):
     assert cover.keys() == {3000 + 10 * t for t in range(12)} and all(set(range(30, 30 + parts * n)) <= x for x in cover.values())
 
 
+def test_passages_of_chance_meetings_are_not_aligned(spark, monkeypatch):
+    """A near copy's seeds are hits, but not with a third text that has one of them; a pair with a line in common is dropped by bytes of its words."""
+    stored, pairs = passages.stored, {}
+
+    def kept(df, kind="table"):
+        out = stored(df, kind)
+        pairs[kind] = {tuple(r) for r in out.select("doc_id", "partner_id").collect()} if "chains" in out.columns else None
+        return out
+
+    monkeypatch.setattr(passages, "stored", kept)
+    new = iter(range(10**6))
+    fresh = lambda n: [f"w{next(new)}" for _ in range(n)]
+    copied, line = fresh(200), fresh(14)
+    texts = {1: fresh(90) + copied[50:54] + fresh(90), 2: copied, 3: [*copied, *fresh(3)], 4: fresh(90) + line + fresh(90), 5: fresh(70) + line + fresh(95)}
+    got = passages.repeated_passages(spark.createDataFrame([(i, " ".join(x)) for i, x in texts.items()], DOCS)).collect()
+    assert [(r.doc_id, r.partner_id, r.start_word, r.end_word) for r in got] == [(3, 2, 0, 200)]
+    assert pairs["chains"] == {(3, 2), (5, 4)} and pairs["likely"] == {(3, 2)}
+
+
+def test_backed_by_the_places_around():
+    """Seven seeds within 47 places: frequent ones count for every partner, others for their own."""
+    at = np.arange(100, 107)
+    hits = lambda partner, frequent, n=7: (np.full(n, 9), np.full(n, partner), at[:n], np.full(n, frequent))
+    one = (np.array([9, 9]), np.array([1, 1]), np.array([120, 200]), np.zeros(2, dtype=bool))
+    backed = lambda *x: passages.backed(*(np.concatenate(y) for y in zip(*x, strict=True)), 7, 47)[: len(x[0][0])].tolist()
+    assert backed(one, hits(2, False)) == [False, False]
+    assert backed(one, hits(2, True)) == [True, False] == backed(one, hits(1, False))
+    assert backed(one, hits(2, True, 6)) == [True, False] and backed(one, hits(2, True, 5)) == [False, False]
+    assert backed((at[:0],) * 3 + (at[:0] > 0,)) == []
+
+
+def test_bytes_of_words_leave_out_no_pair():
+    """Excerpts of 150 words, some of them with a passage of 50 with changed words: what whole words keep, their low bytes keep."""
+    rng, rows = np.random.default_rng(5), []
+    for n in range(400):
+        a, b = rng.integers(0, 2**32, (2, 150), dtype=np.uint32)
+        if n % 2:
+            b[48:98] = a[50:100]
+            b[48 + rng.choice(50, n % 23, replace=False)] = 7
+        rows.append((a, b))
+    batch = lambda kind: pa.RecordBatch.from_pydict({"chains": pa.array([[[70, 68, 4]]] * len(rows), pa.list_(pa.list_(pa.int32()))), "from": pa.array([0] * len(rows), pa.int32()), "other_from": pa.array([0] * len(rows), pa.int32()), "mine": pa.array([a.astype(kind).tobytes() for a, _ in rows], pa.binary()), "other": pa.array([b.astype(kind).tobytes() for _, b in rows], pa.binary())})
+    whole, low = passages.hopeful(batch("<u4"), 50, 0.8), passages.hopeful(batch("u1"), 50, 0.8, kind="u1")
+    assert whole.sum() > 100 and not (whole & ~low).any() and low[::2].sum() < 5
+
+
 def test_cutting(spark):
     own = spark.createDataFrame([(1, "a  b\nc d", 8), (2, "a b", 3), (3, None, 0)], "doc_id long, text string, n_chars long")
     spans = spark.createDataFrame([(1, 1, 3), (1, 2, 3), (2, 0, 2)], "doc_id long, start_word int, end_word int")
