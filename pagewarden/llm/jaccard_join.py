@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, kept_by_size, ranked, released, salted, stored
+from .common import components, kept_by_size, lean, ranked, released, salted, stored
 from .token_ids import slices
 from .word_hashes import hashed, mixed, shingle_sets
 
@@ -299,8 +299,8 @@ def screened(rows: DataFrame, words: int, percent: int) -> DataFrame:
         need = heads["need"] - np.bincount(owner, minlength=len(heads))
         return pa.table({"doc_id": pa.array(heads["doc_id"], pa.int64(), mask=~heads["valid"]), "n_shingles": heads["n"], "k1": heads["k1"], "k2": heads["k2"], "able": need[heads["like"]] <= 0})
 
-    counted = rows.mapInArrow(emit, SCREENED).groupBy("bucket").applyInArrow(count, "block long, owners binary, heads binary")
-    return counted.groupBy("block").applyInArrow(decide, "doc_id long, n_shingles long, k1 long, k2 long, able boolean")
+    counted = rows.mapInArrow(lean(emit), SCREENED).groupBy("bucket").applyInArrow(lean(count), "block long, owners binary, heads binary")
+    return counted.groupBy("block").applyInArrow(lean(decide), "doc_id long, n_shingles long, k1 long, k2 long, able boolean")
 
 
 def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -336,7 +336,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
                 k = np.array([_key(s) for s in sets], dtype=np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "k1": k[:, 0], "k2": k[:, 1], "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "least": pa.array([least_shared(s, percent) if len(s) else 0 for s in sets], pa.int64()), "ngrams": pa.array([s.tobytes() for s in sets], pa.binary())})
 
-    some = kept_by_size(rows, wanted.select("doc_id"), "doc_id", "left_semi").mapInArrow(arrays, "doc_id long, k1 long, k2 long, n_shingles long, least long, ngrams binary")
+    some = kept_by_size(rows, wanted.select("doc_id"), "doc_id", "left_semi").mapInArrow(lean(arrays), "doc_id long, k1 long, k2 long, n_shingles long, least long, ngrams binary")
     if repeated:
         some = some.join(wanted, ["doc_id", "k1", "k2"], "left_semi")
     sets = stored(some, "ngrams")
@@ -369,8 +369,8 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
                 pairs, n, strong = _met(*whole)
                 yield pa.RecordBatch.from_pydict({"a": pairs[0], "b": pairs[1], "n": n, "strong": strong})
 
-    keyed = sets.select("doc_id", "ngrams").mapInArrow(emit, "sig long, doc_id long, times int, often boolean").repartition("sig").sortWithinPartitions("sig", "doc_id")
-    star = stored(keyed.mapInArrow(meet, "a long, b long, n long, strong boolean").groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("strong").alias("strong")), "star")
+    keyed = sets.select("doc_id", "ngrams").mapInArrow(lean(emit), "sig long, doc_id long, times int, often boolean").repartition("sig").sortWithinPartitions("sig", "doc_id")
+    star = stored(keyed.mapInArrow(lean(meet), "a long, b long, n long, strong boolean").groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("strong").alias("strong")), "star")
     shared = star.select(F.col("a").alias("doc_id"), "n").union(star.select("b", "n")).groupBy("doc_id").agg(F.sum("n").alias("n"))
     least = sets.select("doc_id", "least")
     able = sets.select("doc_id", "n_shingles", "least").join(shared, "doc_id").where("n >= least").select("doc_id", "n_shingles")
@@ -421,7 +421,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
             links += [*count.tolist(), *([0] * len(pairs))]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "links": pa.array(links, pa.int64())})
 
-    found = stored(full.groupBy("unit").applyInArrow(link, "a long, b long, links long"), "links")
+    found = stored(full.groupBy("unit").applyInArrow(lean(link), "a long, b long, links long"), "links")
     joined = components(found.where("a <> b").select("a", "b"))
     links = found.where("a = b").groupBy("a").agg(F.sum("links").alias("links")).where("links > 0")
     classes = stored(links.select(F.col("a").alias("doc_id"), "links").join(joined.withColumnRenamed("node", "doc_id"), "doc_id"), "classes")

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from .common import near_equal_buckets, ranked
 
 BLOCK_ROWS, CYCLE = 16, 1000
+#: Rows of a source that are ranked together about; they are whole texts in the pipeline, so few fit in a task.
+_RANKED_ROWS = 2_000
 
 
 def shares(weights: dict[str, float], cycle: int) -> dict[str, int]:
@@ -97,7 +99,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_r
     phases, cycles = schedule(n_rows, by_key, block_rows, cycle)
     phase = spark.createDataFrame(phases, "phase int, _source string, first_block long, end_block long, first_slot long, share int, cycle int, missing long")
     turn = spark.createDataFrame(cycles, "phase int, _source string, _nth int, _slot int")
-    placed = ranked(rows, ["_source"], "_order", ["_tie"], near_equal_buckets(sum(n_rows.values())), "_rank")
+    placed = ranked(rows, ["_source"], "_order", ["_tie"], near_equal_buckets(sum(n_rows.values()), _RANKED_ROWS), "_rank")
     placed = placed.withColumn("block", F.floor(F.col("_rank") / block_rows).cast("long"))
     spans = phase.groupBy("_source").agg(F.array_sort(F.collect_list(F.struct("first_block", "end_block", "phase", "first_slot", "share", "cycle", "missing"))).alias("_spans"))  # phases of a source, at most as many as there are sources
     placed = placed.join(F.broadcast(spans), "_source") if len(phases) <= 20_000 else placed.join(spans, "_source")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import near_equal_buckets, ranked, stored
+from .common import lean, near_equal_buckets, ranked, stored
 from .token_ids import crc32, default_vocabulary, encoder, slices, with_end
 
 CAPACITY = 2048
@@ -186,7 +186,7 @@ def pieces_of(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None
                 yield pa.RecordBatch.from_pydict(out)
 
     kind = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", _order long" * bool(order) + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long"), "text", *([F.col(order).cast("long").alias("_order")] if order else [])).mapInArrow(cut, kind)
+    return docs.select(F.col("doc_id").cast("long"), "text", *([F.col(order).cast("long").alias("_order")] if order else [])).mapInArrow(lean(cut), kind)
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, with_ids: bool = False, grain: int = 8, parts: int = 3, order: str | None = None) -> DataFrame:
@@ -237,4 +237,4 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = Non
     spread = rows if order else rows.withColumn("_order", F.xxhash64("doc_id", "piece"))
     placed = ranked(spread.withColumn("_order", F.coalesce("_order", F.lit(0).cast("long"))), ["length"], "_order", ["doc_id", "piece", "ids_crc32"], near_equal_buckets(sum(histogram.values())))
     kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "_order") + ", sequence_id long, offset long"
-    return placed.select(*shown, "rank").mapInArrow(assign, kind)
+    return placed.select(*shown, "rank").mapInArrow(lean(assign), kind)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 
-from .common import first_by_hash
+from .common import first_by_hash, lean
 from .token_ids import slices, trim
 
 GRADES, STEMS, SCALE = 3, (4, 5, 6, 7), 4.0
@@ -275,7 +275,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, each: int = 3_000) -> Sa
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("h", "doc_id", "toxic")), pa.array([[w for w, _ in x] for x in each_], pa.list_(pa.string())), pa.array([[n for _, n in x] for x in each_], pa.list_(pa.int32()))], names=["h", "doc_id", "toxic", "words", "times"])
 
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(some), "doc_id").select("h", "doc_id", "toxic", "text")  # 2 x ``each`` labels
-    counted_ = texts.mapInArrow(count, "h long, doc_id long, toxic int, words array<string>, times array<int>")
+    counted_ = texts.mapInArrow(lean(count), "h long, doc_id long, toxic int, words array<string>, times array<int>")
     once = counted_.withColumn("key", F.xxhash64("words", "times")).groupBy("key", "toxic").agg(F.min(F.struct("h", "doc_id", "words", "times")).alias("x")).select("x.*", "toxic")
     table = once.toArrow().sort_by([("h", "ascending"), ("doc_id", "ascending"), ("toxic", "ascending")])  # 2 x ``each`` texts
     words = table.column("words").combine_chunks()
@@ -309,7 +309,7 @@ def severity(docs: DataFrame, labels: DataFrame, each: int = 3_000) -> DataFrame
 
 
     schema = StructType([*docs.schema.fields, StructField("expected_severity", DoubleType()), StructField("grade", IntegerType()), StructField("kept", BooleanType())])
-    return docs.mapInArrow(score, schema)
+    return docs.mapInArrow(lean(score), schema)
 
 
 def op9_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -438,6 +438,46 @@ def test_fingerprints_of_far_and_missing_ids(spark, monkeypatch):
     brute_fingerprints(spark, [(i % 7 if i % 3 else None, f"{prose(i, 20)} {i}") for i in range(40)])
 
 
+def resident():
+    with open("/proc/self/statm") as f:
+        return int(f.read().split()[1]) * 4096 / 1e6
+
+
+def test_workers_give_their_memory_back():
+    def work(batches):
+        for batch in batches:
+            held = [np.ones(8_000) for _ in range(4_000)]  # each too small for a mapping of its own
+            kept.append(held[-1])  # lies above the others
+            yield batch
+
+    kept, before = [], resident()
+    assert list(common.lean(work)(iter([1]))) == [1] and resident() < before + 100
+    before = resident()
+    assert common.lean(lambda table: sum(x[0] for x in [np.ones(8_000) for _ in range(4_000)]))(pa.table({})) == 4_000 and resident() < before + 100
+
+
+def test_mixing_stage_writes_in_order_without_a_sample_of_the_texts(spark, tmp_path):
+    rows = spark.createDataFrame([(i, prose(i, 5), "small" if i < 900 else "big") for i in range(5_000)], "doc_id long, text string, source string")
+    mixed = corpus_pipeline.mix_sources(spark, rows, "")
+    assert "rangepartitioning" not in mixed._jdf.queryExecution().toString()
+    mixed.write.parquet(path := f"file://{tmp_path}/mixed")
+    found = spark.read.parquet(path).select("doc_id", F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int").alias("file"), "_metadata.row_index").orderBy("file", "row_index").collect()
+    assert [r.doc_id for r in found] == [r.doc_id for r in mixing.mix(rows).orderBy("position").collect()] and len({r.file for r in found}) > 1
+    assert corpus_pipeline.mix_sources(spark, rows.limit(0), "").count() == 0
+
+
+def test_mixing_ranks_few_rows_together(spark):
+    rows = spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit("one").alias("source"))
+    groups = []
+    real, common_ranked = mixing.ranked, common.ranked
+    mixing.ranked = lambda df, keys, order, ties, buckets, *a: groups.append(df.groupBy(*keys, common.hash_bucket(F.col(order), buckets)).count().agg(F.max("count")).first()[0]) or common_ranked(df, keys, order, ties, buckets, *a)
+    try:
+        mixing.mix(rows)
+    finally:
+        mixing.ranked = real
+    assert groups[0] < 2_400
+
+
 def test_mixing_keeps_columns_of_any_name(spark):
     rows = spark.createDataFrame([(i if i % 5 else None, f"s{i % 3}", i * 10, i, "x", i, i) for i in range(60)], "doc_id long, source string, position long, _rank int, _source string, _bucket int, `a.b` int")
     out = mixing.mix(rows, block_rows=4)
