@@ -25,6 +25,8 @@ DICTIONARY_FRAME = 0x184D2A5D
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 LEAST_REVISIT = 100
 _ID, _SALTS = "urn:page:", 16
+#: Files of the list of archives; on local disks Spark copies its process for each file it makes, so small ones are dear.
+_LIST_FILES = 4
 
 
 def record_bytes(kind: str, page_id: int | None, url: str | None, payload: bytes, length: int, digest: str, refers_to: int | None, refers_url: str | None, date: str) -> bytes:
@@ -172,7 +174,7 @@ def op5_warc(pages: DataFrame) -> DataFrame:
     """Writes the archives of a table of pages and reads them back, one row per page."""
     spark, folder = pages.sparkSession, new_folder(pages.sparkSession, "warc")
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    written = stored(write_warc(pages.select(F.col("page_id").cast("long"), "url", "html"), folder), "written")
+    written = stored(write_warc(pages.select(F.col("page_id").cast("long"), "url", "html"), folder).repartition(_LIST_FILES), "written")
     if written.isEmpty():
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
     return read_warc(spark, folder, written=written).select(*columns)

@@ -102,6 +102,22 @@ def test_warc_dictionary(spark, tmp_path):
     assert {r.payload for r in warc.read_warc(spark, f"file://{tmp_path}", True).collect()} == {prose(i, 200) for i in range(60)}
 
 
+def test_warc_lists_archives_in_few_files(spark, monkeypatch):
+    pages, lists = spark.createDataFrame([(i, f"u{i}", prose(i % 150)) for i in range(300)], "page_id long, url string, html string"), []
+    monkeypatch.setattr(warc, "stored", lambda df, kind: lists.append(common.stored(df, kind)) or lists[-1])
+    more = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in more}
+    try:
+        for k, v in more.items():
+            spark.conf.set(k, v)
+        rows = warc.op5_warc(pages).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(lists[0].inputFiles()) <= 4 < lists[0].count() and lists[0].agg(F.sum("n_records")).first()[0] == 300
+    assert sorted((r.page_id, r.refers_to) for r in rows) == [(i, i - 150 if i >= 150 else None) for i in range(300)]
+
+
 def test_mixing_stays_within_a_block(spark):
     share = mixing.shares({"a": 5, "b": 3, "c": 1, "d": 0.1}, 1000)
     slots = mixing.one_cycle(share)
