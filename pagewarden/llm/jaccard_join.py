@@ -32,12 +32,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, kept_by_size, lean, ranked, released, salted, stored
+from .common import components, kept_by_size, lean, ranked, released, salted, shuffled, stored
 from .token_ids import slices
 from .word_hashes import hashed, mixed, shingle_sets
 
 WORDS, PERCENT = 4, 85
 _UNIT_NGRAMS, _FRAGMENT = 1_000_000, 4_096
+#: So many rows of documents in units, of about 100 bytes, are broadcast at most.
+_FEW_PLACED = 100_000
 #: A signature of more documents is frequent: these are joined with one of them only, not all with each other.
 _FEW = 32
 #: A set counts as so many n-grams at least when units are filled, so the matrix of a unit's pairs is bounded too.
@@ -322,7 +324,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     several = stored(several.select("doc_id", "one"), "several")  # usually empty
     repeated = not several.isEmpty()
     if repeated:
-        real = real.join(several, "doc_id", "left").where(F.col("one").isNull() | (F.struct("k1", "k2") == F.col("one"))).drop("one")
+        real = real.join(shuffled(several), "doc_id", "left").where(F.col("one").isNull() | (F.struct("k1", "k2") == F.col("one"))).drop("one")
     copies = real.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("copies")).where("copies > 1")
     copies = stored(copies, "copies")
     wanted = salted(real.where("able").select("doc_id", "k1", "k2"), copies, ["k1", "k2"], "doc_id").where("rep is null or doc_id = rep")
@@ -338,7 +340,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
 
     some = kept_by_size(rows, wanted.select("doc_id"), "doc_id", "left_semi").mapInArrow(lean(arrays), "doc_id long, k1 long, k2 long, n_shingles long, least long, ngrams binary")
     if repeated:
-        some = some.join(wanted, ["doc_id", "k1", "k2"], "left_semi")
+        some = some.join(shuffled(wanted), ["doc_id", "k1", "k2"], "left_semi")
     sets = stored(some, "ngrams")
     again = sets.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")  # rows with equal doc_id and text
     if not again.isEmpty():
@@ -373,12 +375,12 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     star = stored(keyed.mapInArrow(lean(meet), "a long, b long, n long, strong boolean").groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("strong").alias("strong")), "star")
     shared = star.select(F.col("a").alias("doc_id"), "n").union(star.select("b", "n")).groupBy("doc_id").agg(F.sum("n").alias("n"))
     least = sets.select("doc_id", "least")
-    able = sets.select("doc_id", "n_shingles", "least").join(shared, "doc_id").where("n >= least").select("doc_id", "n_shingles")
+    able = sets.select("doc_id", "n_shingles", "least").join(shuffled(shared), "doc_id").where("n >= least").select("doc_id", "n_shingles")
     # two documents that no frequent signature joins have been counted in full, so chance meetings hold no cluster together
-    weak = star.where("NOT strong").join(least.toDF("a", "least_a"), "a").join(least.toDF("b", "least_b"), "b").where("n >= greatest(least_a, least_b)")
+    weak = star.where("NOT strong").join(shuffled(least.toDF("a", "least_a")), "a").join(shuffled(least.toDF("b", "least_b")), "b").where("n >= greatest(least_a, least_b)")
     star = stored(star.where("strong").select("a", "b").union(weak.select("a", "b")), "edges")
     clusters = components(star.select("a", "b")).withColumnsRenamed({"node": "doc_id", "component": "cluster"})
-    weights = stored(able.join(clusters, "doc_id"), "clusters")
+    weights = stored(able.join(shuffled(clusters), "doc_id"), "clusters")
     weighed = weights.withColumn("h", F.xxhash64("doc_id")).withColumn("weight", F.greatest("n_shingles", F.lit(_LEAST_WEIGHT).cast("long")))
     placed = ranked(weighed, ["cluster"], "h", ["doc_id"], 64, "before", "weight")
     placed = placed.withColumn("block", F.floor(F.col("before") / _UNIT_NGRAMS).cast("int"))
@@ -394,7 +396,10 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     placed = stored(placed.select("doc_id", "cluster", "block", "other", unit.alias("unit")), "units")
     copied = copies.select(F.col("rep").alias("doc_id"), "copies").dropDuplicates(["doc_id"])
 
-    full = placed.join(sets.select("doc_id", "ngrams"), "doc_id").join(copied, "doc_id", "left").select("unit", "cluster", "doc_id", "block", "other", "ngrams", F.coalesce("copies", F.lit(1)).alias("copies"))
+    dealt = placed.join(shuffled(copied), "doc_id", "left")
+    # few rows spare the n-grams a shuffle; a document has one for each block of its cluster
+    dealt = F.broadcast(dealt) if placed.count() <= _FEW_PLACED else shuffled(dealt)
+    full = sets.select("doc_id", "ngrams").join(dealt, "doc_id").select("unit", "cluster", "doc_id", "block", "other", "ngrams", F.coalesce("copies", F.lit(1)).alias("copies"))
 
     def link(table: pa.Table) -> pa.Table:
         frame = table.select(["cluster", "doc_id", "block", "other", "copies"]).to_pandas()
@@ -424,9 +429,9 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     found = stored(full.groupBy("unit").applyInArrow(lean(link), "a long, b long, links long"), "links")
     joined = components(found.where("a <> b").select("a", "b"))
     links = found.where("a = b").groupBy("a").agg(F.sum("links").alias("links")).where("links > 0")
-    classes = stored(links.select(F.col("a").alias("doc_id"), "links").join(joined.withColumnRenamed("node", "doc_id"), "doc_id"), "classes")
-    copies = copies.join(classes.select(F.col("doc_id").alias("rep"), F.col("component").alias("far"), F.col("links").alias("far_links")), "rep", "left")
-    out = salted(sizes, copies, ["k1", "k2"], "doc_id").join(classes, "doc_id", "left")
+    classes = stored(links.select(F.col("a").alias("doc_id"), "links").join(shuffled(joined.withColumnRenamed("node", "doc_id")), "doc_id"), "classes")
+    copies = copies.join(shuffled(classes.select(F.col("doc_id").alias("rep"), F.col("component").alias("far"), F.col("links").alias("far_links"))), "rep", "left")
+    out = salted(sizes, copies, ["k1", "k2"], "doc_id").join(shuffled(classes), "doc_id", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("far", "rep", "component")).otherwise(F.lit(None))
     linked = F.when(F.col("n_shingles") > 0, F.coalesce("far_links", F.when(F.col("rep").isNull(), F.col("links")), F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).otherwise(0)
     return out.select("doc_id", "n_shingles", F.coalesce(component, F.col("doc_id")).alias("component_id"), linked.cast("long").alias("n_links"))

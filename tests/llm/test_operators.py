@@ -472,6 +472,21 @@ def test_workers_give_their_memory_back():
     assert common.lean(lambda table: sum(x[0] for x in [np.ones(8_000) for _ in range(4_000)]))(pa.table({})) == 4_000 and resident() < before + 100
 
 
+def test_near_copies_broadcast_no_table_for_its_small_files(spark, docs, monkeypatch):
+    plans, real = {}, common.stored
+    monkeypatch.setattr(jaccard_join, "stored", lambda df, kind="table": plans.setdefault(kind, df._jdf.queryExecution().executedPlan().toString()) and real(df, kind))
+    few = sorted(map(tuple, jaccard_join.jaccard_join(docs).collect()), key=str)
+    assert plans["links"].count("BroadcastHashJoin") == 1  # the documents in units, as they are counted to be few
+    plans.clear()
+    monkeypatch.setattr(jaccard_join, "_FEW_PLACED", 0, raising=False)
+    joined = jaccard_join.jaccard_join(docs)
+    plans["end"] = joined._jdf.queryExecution().executedPlan().toString()
+    assert {"able", "clusters", "units", "links", "classes"} < set(plans)
+    broadcast = {k: plan.count("BroadcastHashJoin") for k, plan in plans.items() if "BroadcastHashJoin" in plan}
+    assert broadcast == {"ngrams": 1, "blocks": 1, "units": 1}  # counted ids, and the sums of ranked()
+    assert sorted(map(tuple, joined.collect()), key=str) == few
+
+
 def test_mixing_stage_writes_in_order_without_a_sample_of_the_texts(spark, tmp_path):
     rows = spark.createDataFrame([(i, prose(i, 5), "small" if i < 900 else "big") for i in range(5_000)], "doc_id long, text string, source string")
     mixed = corpus_pipeline.mix_sources(spark, rows, "")
